@@ -26,7 +26,7 @@ from textloom.llm.common import arrow_map, batch, only, texts
 
 BITS = 18
 SMOOTHING = 4.0  # pseudo-count of each bucket at the trusted text's total
-THRESHOLD = -0.15
+THRESHOLD = -0.2
 SCALE = 1_000_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
