@@ -27,6 +27,7 @@ from textloom.llm.common import arrow_map, batch, only, texts
 BITS = 18
 SMOOTHING = 4.0  # pseudo-count of each bucket at the trusted text's total
 THRESHOLD = -0.2
+TRUSTED_ROWS = 100_000  # labelled documents that make the trusted text, at most
 SCALE = 1_000_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -130,10 +131,15 @@ def weights(counts: DataFrame, bits: int = BITS, smoothing: float = SMOOTHING) -
     return np.rint(ratio * SCALE).astype(np.int32)
 
 
-def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with trusted: a label of quality 1 and no toxicity. One shuffle on doc_id, or none where Spark finds the labels small."""
-    good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select("doc_id").distinct()
-    return docs.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+def with_trust(docs: DataFrame, labels: DataFrame, bound: int = TRUSTED_ROWS) -> DataFrame:
+    """docs(doc_id, text) with trusted: a label of quality 1 and no toxicity.
+
+    The trusted text is that of at most `bound` labelled documents, those of the least hash; their ids are sent to every
+    task (8 bytes each, so at most 8 * bound), and no text is shuffled. Raw counts are over all documents.
+    """
+    good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).withColumn("trusted", F.lit(True))
+    return docs.join(F.broadcast(chosen), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
 
 
 def _judge(shared, bits: int, threshold: float):
