@@ -86,9 +86,9 @@ def open_stream(path: str, mode: str):
 
     store, inner = fs.FileSystem.from_uri(path)
     if mode == "r":
-        return store.open_input_stream(inner)
+        return store.open_input_stream(inner, compression=None)
     store.create_dir(inner.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(inner)
+    return store.open_output_stream(inner, compression=None)
 
 
 class Writer:
