@@ -227,7 +227,7 @@ def _confirmed(best: DataFrame) -> DataFrame:
     own = F.array_distinct(F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b)))
     met = best.withColumn("own", own).join(F.broadcast(templates), "family", "left")
     shared = F.size(F.array_intersect("own", "template"))
-    agrees = F.coalesce((shared >= MIN_SHARED) & (shared >= MIN_SHARE * F.least(F.size("own"), F.size("template"))), F.lit(False))
+    agrees = F.coalesce((shared >= F.least(F.lit(MIN_SHARED), F.size("template"))) & (shared >= MIN_SHARE * F.least(F.size("own"), F.size("template"))), F.lit(False))
     return met.groupBy("paragraph", "family", "probability").agg(F.bool_or(agrees).alias("confirmed"))
 
 
