@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 BATCH_BYTES = 16 * 1024 * 1024
 BATCH_ROWS = 2000
+ROWS_PER_PARTITION = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +32,22 @@ def new_place(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/textloom/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: later steps start from files that outlive executors."""
+def gather(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more partitions than `rows` rows call for: two for each of the cluster's cores, or one for each ROWS_PER_PARTITION rows.
+
+    Partitions are merged where they lie, without a shuffle; each is still worked through on its own.
+    """
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, rows // ROWS_PER_PARTITION))
+
+
+def cut(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: later steps start from files that outlive executors.
+
+    rows: a bound of its rows, where one is known; then it gets only as many files as that calls for.
+    """
     spark = df.sparkSession
     place = new_place(spark, label)
-    df.write.option("compression", "zstd").parquet(place)
+    (df if rows is None else gather(df, rows)).write.option("compression", "zstd").parquet(place)
     return spark.read.schema(df.schema).parquet(place)
 
 

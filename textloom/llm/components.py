@@ -29,15 +29,15 @@ def _star(pairs: DataFrame, up: bool) -> DataFrame:
     return met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(own).where("a <> b").distinct()
 
 
-def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """links(a, b) -> node, root: each linked node with the least node of its component."""
-    now = cut(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "links")
+def connected(links: DataFrame, rows: int | None = None) -> DataFrame:
+    """links(a, b) -> node, root: each linked node with the least node of its component. rows: a bound of the number of links, where one is known."""
+    now = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links", rows)
     size = _mark(now)
     for _ in range(MAX_ROUNDS):
         if size[0] == 0:
             break
         large = _star(_both(now), up=True)
-        after = cut(_star(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), up=False), "links")
+        after = cut(_star(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), up=False), "links", rows)
         mark = _mark(after)
         now = after
         if mark == size:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_map, batch, cut, only
+from textloom.llm.common import arrow_map, batch, cut, gather, only
 from textloom.llm.components import connected
 
 GRAM = 8
@@ -38,12 +38,13 @@ MIN_WORDS, MIN_CHARS = 5, 24
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 4
 SEED = 20_011
-CHUNK_CHARS = 500_000
+CHUNK_CHARS = 50_000  # of new lines signed at once: their arrays stay in a core's cache
+CHUNK_LINES = 5_000
 SEEN_LINES = 300_000
 
 _rng = np.random.default_rng(SEED)
-_FACTORS = _rng.integers(1, 2**63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _rng.integers(0, 2**63, BANDS * ROWS).astype(np.uint64)
+_FACTORS = _rng.integers(0, 2**31, BANDS * ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_SHIFTS = _rng.integers(0, 2**32, BANDS * ROWS).astype(np.uint32)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -58,7 +59,8 @@ def normal(line: str) -> str | None:
 
 
 def line_hash(form: str) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(form.encode("utf-8", "surrogatepass"))).view(np.int64))
+    value = xxhash.xxh3_64_intdigest(form.encode("utf-8", "surrogatepass"))
+    return value - (1 << 64) if value >> 63 else value
 
 
 def bands(forms: list[str]) -> np.ndarray:
@@ -67,24 +69,23 @@ def bands(forms: list[str]) -> np.ndarray:
     lengths = np.fromiter(map(len, forms), np.int64, len(forms))
     starts = np.cumsum(lengths) - lengths
     n = len(x) - GRAM + 1
-    h = np.zeros(n, np.uint64)
+    h = np.zeros(n + 1, np.uint64)  # one more, that the last edge has a place
     for i in range(GRAM):
-        h = h * _STEP + x[i : i + n]
+        h[:n] *= _STEP
+        h[:n] += x[i : i + n]
     h ^= h >> np.uint64(32)
     h *= _MIX
-    h ^= h >> np.uint64(29)
+    short = (h >> np.uint64(32)).astype(np.uint32)
     edges = np.stack([starts, starts + lengths - GRAM + 1], axis=1).ravel()
-    edges = np.minimum(edges, n - 1) if edges[-1] >= n else edges
-    last = h[-1:]  # reduceat leaves out the final shingle where its edge had to be moved
+    v = np.empty_like(short)
     out = np.empty((len(forms), BANDS), np.uint64)
     for band in range(BANDS):
         key = np.full(len(forms), band + 1, np.uint64) * _STEP
         for row in range(ROWS):
             k = band * ROWS + row
-            v = h * _FACTORS[k] + _SHIFTS[k]
-            least = np.minimum.reduceat(v, edges)[::2]
-            least[-1] = min(least[-1], (last * _FACTORS[k] + _SHIFTS[k])[0])
-            key = (key ^ (least >> np.uint64(8))) * _MIX
+            np.multiply(short, _FACTORS[k], out=v)
+            np.add(v, _SHIFTS[k], out=v)
+            key = (key ^ np.minimum.reduceat(v, edges)[::2]) * _MIX
             key ^= key >> np.uint64(31)
         out[:, band] = key
     return out.view(np.int64)
@@ -101,7 +102,7 @@ def jaccard(a: frozenset, b: frozenset) -> float:
     return both / (len(a) + len(b) - both)
 
 
-_LINES = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("h", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_LINES = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("h", pa.int64()), ("fresh", pa.bool_()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +112,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush():
         signed = iter(bands(forms).tolist()) if forms else iter(())
-        out = batch(_LINES, docs, lines, hashes, [next(signed) if new else None for new in fresh])
+        out = batch(_LINES, docs, lines, hashes, fresh, [next(signed) if new else None for new in fresh])
         for x in (docs, lines, hashes, forms, fresh):
             x.clear()
         return out
@@ -133,7 +134,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lines.append(number)
                 hashes.append(h)
                 fresh.append(new)
-                if chars >= CHUNK_CHARS:
+                if chars >= CHUNK_CHARS or len(docs) >= CHUNK_LINES:
                     yield flush()
                     chars = 0
     if docs:
@@ -231,26 +232,26 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _forms(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """h, form of the wanted lines, each fetched from one document that has it."""
-    place = lines.where("bands is not null").join(wanted, "h").groupBy("h").agg(F.min("doc_id").alias("doc_id"))
-    where = lines.join(place, ["h", "doc_id"]).groupBy("h", "doc_id").agg(F.min("line").alias("line"))
+    where = lines.where("fresh").select("h", "doc_id", "line").join(wanted, "h").groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("h", "at.*")
     asked = where.groupBy("doc_id").agg(F.collect_list(F.struct("line", "h")).alias("wanted"))  # at most a document's lines
     return arrow_map(docs.join(asked, "doc_id").select("text", "wanted"), _pick, "h long, form string").dropDuplicates(["h"])
 
 
-def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """lines(doc_id, line, h) and found(node, root): the linked hashes with the least of their component."""
+def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """lines(doc_id, line, h), their number, and found(node, root): the linked hashes with the least of their component."""
     docs = only(docs, "doc_id", "text").where("doc_id is not null and text is not null")
-    lines = cut(arrow_map(docs, _sign, "doc_id long, line int, h long, bands array<long>"), "lines")
-    keyed = lines.where("bands is not null").select("h", F.explode("bands").alias("key"))
-    stars = cut(arrow_map(keyed.repartition("key").sortWithinPartitions("key", "h"), _stars, "key long, h long, lead long"), "stars")
+    lines = cut(arrow_map(docs, _sign, "doc_id long, line int, h long, fresh boolean, bands array<long>"), "lines")
+    n = lines.count()
+    keyed = lines.where("fresh").select("h", F.explode("bands").alias("key"))
+    stars = cut(arrow_map(keyed.repartition("key").sortWithinPartitions("key", "h"), _stars, "key long, h long, lead long"), "stars", n)
     pairs = stars.select("h", "lead").distinct()
     wanted = stars.select(F.explode(F.array("h", "lead")).alias("h")).distinct()
-    forms = cut(_forms(docs, lines, wanted), "forms")
+    forms = cut(_forms(docs, lines, wanted), "forms", n)
     told = pairs.join(forms, "h").join(forms.select(F.col("h").alias("lead"), F.col("form").alias("lead_form")), "lead").select("h", "lead", "form", "lead_form")
-    measured = cut(arrow_map(told, _measure, "h long, lead long, j double"), "measured")
+    measured = cut(arrow_map(told, _measure, "h long, lead long, j double"), "measured", n)
     links = measured.where(F.col("j") >= SIMILARITY).select(F.col("h").alias("a"), F.col("lead").alias("b"))
     more = _residual_links(stars, measured, forms)
-    return lines.drop("bands"), connected(links.unionByName(more))
+    return lines.select("doc_id", "line", "h"), connected(links.unionByName(more), n), n
 
 
 def _residual_links(stars: DataFrame, measured: DataFrame, forms: DataFrame) -> DataFrame:
@@ -261,40 +262,47 @@ def _residual_links(stars: DataFrame, measured: DataFrame, forms: DataFrame) ->
     return arrow_map(told.repartition("key").sortWithinPartitions("key"), _residue, "a long, b long")
 
 
-def drops(docs: DataFrame) -> DataFrame:
-    """doc_id, dropped (array of line numbers) of the documents that lose lines."""
-    lines, found = line_components(docs)
+def drops(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, dropped (array of line numbers) of the documents that lose lines; and the number of lines that took part."""
+    lines, found, n = line_components(docs)
     rooted = lines.join(found, lines.h == found.node, "left").select("doc_id", "line", F.coalesce("root", "h").alias("root"))
-    rooted = rooted.groupBy("root", "doc_id", "line").agg(F.lit(1).alias("one")).drop("one")  # repeated rows of a doc_id
     place = F.struct("doc_id", "line")
-    first = rooted.groupBy("root").agg(F.min(place).alias("keep"), F.count("*").alias("n")).where("n > 1").select("root", "keep")
+    first = rooted.groupBy("root").agg(F.min(place).alias("keep"), F.max(place).alias("last")).where("keep <> last").select("root", "keep")
     gone = rooted.join(first, "root").where(place != F.col("keep"))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("dropped"))
+    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped")), n
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped (line numbers from 0, comma-joined) of every document."""
-    own = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    told = own.join(drops(docs), "doc_id", "left")
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select("doc_id", (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
+    gone, n = drops(docs)
+    told = gather(own.join(gone, "doc_id", "left"), n)
     return told.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """The documents without their dropped lines, n_chars (where there is such a column) recounted; those left without a word go."""
-
-    @F.arrow_udf("string")
-    def rest(text: pa.Array, dropped: pa.Array) -> pa.Array:
-        out = []
-        for t, gone in zip(text.to_pylist(), dropped.to_pylist(), strict=True):
+def _rest(text: pa.Array, dropped: pa.Array) -> pa.Array:
+    """Texts without the dropped lines; null where no word is left."""
+    out = []
+    for t, gone in zip(text.to_pylist(), dropped.to_pylist(), strict=True):
+        kept = None
+        if t is not None:
             gone = set(gone)
             kept = [x for i, x in enumerate(t.split("\n")) if i not in gone]
-            out.append("\n".join(kept) if any(map(str.split, kept)) else None)
-        return pa.array(out, pa.string())
+        out.append("\n".join(kept) if kept and any(map(str.split, kept)) else None)
+    return pa.array(out, pa.string())
 
-    found = drops(docs).select(F.col("doc_id").alias("_doc_id"), F.col("dropped").alias("_dropped"))
-    met = docs.join(found, docs.doc_id == found._doc_id, "left")
-    kept = met.where("_dropped is null or text is null").select(docs.columns)
-    cut_down = met.where("_dropped is not null and text is not null").withColumn("text", rest("text", "_dropped")).select(docs.columns).where("text is not null")
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """The documents without their dropped lines, n_chars (where there is such a column) recounted; those left without a word go."""
+    rest = F.arrow_udf(_rest, "string").asNondeterministic()  # so that no filter runs it a second time
+    gone, n = drops(docs)
+    found = gone.select(F.col("doc_id").alias("_doc_id"), F.col("dropped").alias("_dropped"))
+    met = gather(docs.join(found, docs.doc_id == found._doc_id, "left"), n)
+    touched = F.col("_dropped").isNotNull() & F.col("text").isNotNull()
+    told = met.withColumn("_touched", touched).withColumn("_rest", rest(F.when(touched, F.col("text")), F.col("_dropped")))
+    told = told.where(~F.col("_touched") | F.col("_rest").isNotNull())
+    changed = {"text": F.when(F.col("_touched"), F.col("_rest")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        cut_down = cut_down.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.unionByName(cut_down)
+        changed["n_chars"] = F.when(F.col("_touched"), F.length("_rest").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return told.withColumns(changed).select(docs.columns)
