@@ -1,7 +1,8 @@
 """Quality classifier: averaged embeddings of hashed words and character n-grams, softmax output.
 
 A word's vector is the sum of learned vectors of its features: its own hash and those of the character 3- to 5-grams of
-the word with its boundaries; neighbouring words add the hash of their pair. A document's vector is the mean over all its words, and two logits follow. Vectors and
+the word with its boundaries; neighbouring words add the hash of their pair. A document's vector is the mean over all
+its words, and two logits follow. Vectors and
 logits are trained in numpy by stochastic gradient descent with a falling rate. As the output is linear in the mean,
 scoring needs only each feature's share of the logit difference: a vector of one number for each bucket.
 
@@ -32,50 +33,54 @@ TRAIN_ROWS = 4_000
 EPOCHS, RATE = 8, 0.5
 SEED = 7
 GRAMS = (3, 4, 5)
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
+BLOCK_WORDS = 50_000  # of a text hashed at once
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
+_TOP = np.uint64(48)  # leaves 16 bits, a bucket
 
 
-def word_buckets(word: bytes) -> np.ndarray:
-    """Buckets of a word and of its character n-grams."""
-    try:
-        marked = f"<{word.decode()}>"
-    except UnicodeDecodeError:
-        marked = f"<{word.decode('latin-1')}>"
-    grams = {marked}
-    for n in GRAMS:
-        grams.update(marked[i : i + n] for i in range(len(marked) - n + 1))
-    return np.array(sorted({xxhash.xxh3_64_intdigest(g.encode()) % BUCKETS for g in grams}), np.int64)
+class WordHashes(dict):
+    """word -> hash, for the words met of late."""
 
-
-def pair_buckets(words: list[bytes], cache: dict) -> np.ndarray:
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    return ((((h[:-1] * _PAIR) ^ h[1:]) * _SPREAD) >> np.uint64(48)).astype(np.int64) if len(h) > 1 else np.empty(0, np.int64)
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
 
 
-class Bounded(dict):
-    """A cache of what `make` gives for a word."""
+def gram_hashes(words: list[bytes]) -> Iterator[np.ndarray]:
+    """Hashes of the 3- to 5-grams of characters inside words, a blank at either end of a word being one of them."""
+    x = np.frombuffer((b" " + b" ".join(words) + b" ").decode().encode("utf-32-le"), "<u4").astype(np.uint64)
+    blanks = np.concatenate([[0], np.cumsum(x == 32)])
+    h = np.zeros(len(x), np.uint64)
+    for n in range(1, max(GRAMS) + 1):
+        m = len(x) - n + 1
+        if m <= 0:
+            return
+        h = h[:m] * _PAIR + x[n - 1 :]
+        if n in GRAMS:
+            yield (h * np.uint64(2 * n + 1))[blanks[n - 1 : n - 1 + m] == blanks[1 : m + 1]]  # no blank inside
 
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
 
-    def __missing__(self, word):
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = value = self.make(word)
-        return value
+def feature_buckets(words: list[bytes], cache: dict) -> Iterator[np.ndarray]:
+    """Buckets of words, of neighbouring pairs, and of character n-grams, each as often as it occurs."""
+    for i in range(0, len(words), BLOCK_WORDS):
+        own = words[i : i + BLOCK_WORDS + 1]  # with the next block's first word, for the pair
+        h = np.fromiter(map(cache.__getitem__, own), np.uint64, len(own))
+        hashes = [h[:BLOCK_WORDS], (h[:-1] * _PAIR) ^ h[1:], *gram_hashes(own[:BLOCK_WORDS])]
+        yield ((np.concatenate(hashes) * _SPREAD) >> _TOP).astype(np.int64)
 
 
-def document(text: bytes, parts: dict, hashes: dict) -> tuple[np.ndarray, np.ndarray]:
+def document(text: bytes, cache: dict) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their weights, which are counts over its number of words."""
     words = text.split()
-    if not words:
-        return np.empty(0, np.int64), np.empty(0, np.float32)
-    found = np.concatenate([*[parts[w] for w in words], pair_buckets(words, hashes)])
-    buckets, counts = np.unique(found, return_counts=True)
-    return buckets, (counts / len(words)).astype(np.float32)
+    counts = np.zeros(BUCKETS, np.int64)
+    for own in feature_buckets(words, cache):
+        counts += np.bincount(own, minlength=BUCKETS)
+    found = np.flatnonzero(counts)
+    return found, (counts[found] / max(len(words), 1)).astype(np.float32)
 
 
 def held_out() -> F.Column:
@@ -89,9 +94,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -
     schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("buckets", pa.binary()), ("weights", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, hashes = Bounded(word_buckets), Bounded(xxhash.xxh3_64_intdigest)
+        cache = WordHashes()
         for b in batches:
-            made = [document(t, parts, hashes) for t in texts(b.column("text"))]
+            made = [document(t, cache) for t in texts(b.column("text"))]
             yield batch(schema, b.column("doc_id"), b.column("quality"), [x.astype("<u2").tobytes() for x, _ in made], [w.astype("<f4").tobytes() for _, w in made])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
@@ -143,14 +148,12 @@ def score(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share, constant = shared.value
-        own, hashes = Bounded(lambda w: float(share[word_buckets(w)].sum(dtype=np.float64))), Bounded(xxhash.xxh3_64_intdigest)
+        cache = WordHashes()
         for b in batches:
             scores = []
             for text in texts(b.column("text")):
                 words = text.split()
-                total = 0.0
-                if words:
-                    total = (sum(map(own.__getitem__, words)) + float(share[pair_buckets(words, hashes)].sum(dtype=np.float64))) / len(words)
+                total = sum(float(share[own].sum(dtype=np.float64)) for own in feature_buckets(words, cache)) / max(len(words), 1)
                 scores.append(1 / (1 + np.exp(-np.clip(constant + total, -60, 60))))
             yield batch(schema, b.column("doc_id"), b.column("held_out"), scores, [int(s >= 0.5) for s in scores])
 
