@@ -426,7 +426,7 @@ def heading_level(c: Column) -> Column:
 def table_rows(c: Column) -> Column:
     """Cells of a markdown table's lines, separator lines left out."""
     lines = F.filter(F.split(c, "\n"), lambda x: ~x.rlike(r"^\s*\|[\s|:\-]+\|\s*$"))
-    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\|+|\|+$", ""), r"\|"), F.trim))
+    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c)))
 
 
 def markdown_table_count(c: Column) -> Column:

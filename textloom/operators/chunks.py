@@ -226,4 +226,4 @@ def uploaded(files: DataFrame) -> DataFrame:
     """files(path, content binary) -> one chunk each, undecodable bytes replaced."""
     stem = F.element_at(F.split("path", "/"), -1)
     ident = F.concat(F.lit("upload-"), F.substring(F.md5(F.concat_ws(":", "path", F.md5("content"))), 1, 8), F.lit("-0"))
-    return files.select(ident.alias("chunk_id"), stem.alias("title"), F.decode("content", "UTF-8").alias("content"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"))
+    return files.select(ident.alias("chunk_id"), stem.alias("title"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import rules
 from textloom.functions import text as T
+from textloom.sources.storage import checkpointed
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -69,7 +70,7 @@ def _accept(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[kept]
 
 
-def greedy(docs: DataFrame, order: str, rounds: int = 20) -> DataFrame:
+def greedy(docs: DataFrame, order: str, rounds: int = 50) -> DataFrame:
     """docs(url, hash, order): what a walk in order accepts that refuses seen urls and seen hashes.
 
     Only rows that share a url or a hash with another can be refused; the rest bypass the walk. Rows that hang together
@@ -81,14 +82,17 @@ def greedy(docs: DataFrame, order: str, rounds: int = 20) -> DataFrame:
     urls = rows.where("url <> ''").groupBy("url").agg(F.count("*").alias("_m"))
     marked = rows.join(hashes, "hash").join(urls, "url", "left").withColumn("_shared", (F.col("_n") > 1) | (F.coalesce("_m", F.lit(0)) > 1))
     alone, linked = (marked.where(c).select("url", "hash", order) for c in ("not _shared", "_shared"))
-    label = linked.withColumn("_group", F.col(order)).persist()
+    label = checkpointed(linked.withColumn("_group", F.col(order)))
     for _ in range(rounds):
         least_hash = label.groupBy("hash").agg(F.min("_group").alias("_h"))
         least_url = label.where("url <> ''").groupBy("url").agg(F.min("_group").alias("_u"))
-        passed = label.join(least_hash, "hash").join(least_url, "url", "left").withColumn("_next", F.least("_h", F.coalesce("_u", "_h"))).persist()
+        passed = label.join(least_hash, "hash").join(least_url, "url", "left").withColumn("_next", F.least("_h", F.coalesce("_u", "_h")))
+        passed = checkpointed(passed.select("url", "hash", order, "_group", "_next"))
         moved = passed.where("_next <> _group").limit(1).count()
         label = passed.select("url", "hash", order, F.col("_next").alias("_group"))
         if not moved:
             break
+    else:
+        raise RuntimeError(f"groups did not settle in {rounds} rounds")
     walk = lambda pdf: _accept(pdf.sort_values(order))[["url", "hash", order]]
     return alone.unionByName(label.groupBy("_group").applyInPandas(walk, rows.schema))

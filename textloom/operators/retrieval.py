@@ -143,6 +143,16 @@ def rerank(queries: DataFrame, hits: DataFrame, k: int = rules.RERANK_TOP_K, key
     return top_k(scored.drop("_terms"), k, [F.desc("rerank_score"), F.asc("_rank")]).drop("_rank")
 
 
+def rerank_with(scorer: str, queries: DataFrame, hits: DataFrame, k: int = rules.RERANK_TOP_K, query: str = "query", content: str = "content") -> DataFrame:
+    """hits(query_id, rank, content) by a registered scorer of pairs, such as a cross-encoder; it finds no lexical overlap."""
+    from textloom.functions.providers import pair_score
+
+    met = hits.join(queries.select("query_id", F.col(query).alias("_query")), "query_id")
+    scored = met.withColumn("rerank_score", F.round(pair_score(F.col("_query"), F.col(content), scorer), 9)).drop("_query")
+    scored = scored.withColumn("lexical_overlap", F.lit(0.0)).withColumn("entity_match", F.lit(0.0)).withColumnRenamed("rank", "_rank")
+    return top_k(scored, k, [F.desc("rerank_score"), F.asc("_rank")]).drop("_rank")
+
+
 def confidence(queries: DataFrame, reranked: DataFrame) -> DataFrame:
     """query_id, score, level, reason of every query, those without a hit too."""
     by = F.min_by

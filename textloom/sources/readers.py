@@ -92,7 +92,7 @@ def chunk_files(spark: SparkSession, path: str) -> DataFrame:
 def text_files(spark: SparkSession, path: str, glob: str = "*.{csv,txt}") -> DataFrame:
     """CSV and TXT as raw text, bytes that are no UTF-8 left out."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return raw.select("path", stem(F.col("path")).alias("stem"), T.trim(F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit(""))).alias("text"))
+    return raw.select("path", stem(F.col("path")).alias("stem"), T.trim(F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))).alias("text"))
 
 
 # ---- office files: zip archives of XML
