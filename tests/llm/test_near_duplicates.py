@@ -178,3 +178,29 @@ def test_residue_links_lines_that_miss_the_lead(spark):
     rows = [(1, 11, j(lead, x), x), (1, 12, j(lead, y), y), (2, 13, 0.1, lead), (2, 14, 0.1, y)]
     made = pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], names=["key", "h", "j", "form"])
     assert [(r["a"], r["b"]) for b in L._residue(iter([made])) for r in b.to_pylist()] == [(12, 11)]
+
+
+def test_bucket_links_equal_brute_force():
+    rng = random.Random(11)
+    for _ in range(60):
+        base = [[rng.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]) + str(rng.randrange(40)) for _ in range(20)] for _ in range(3)]
+        forms = []
+        for _ in range(12):
+            words = list(rng.choice(base))
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(20)] = f"new{rng.randrange(90)}"
+            forms.append(" ".join(words))
+        lead = forms[0]
+        j = lambda a, b: L.jaccard(L.shingles(a), L.shingles(b))
+        members = [(i, j(f, lead), f) for i, f in enumerate(forms) if i]
+        groups, wanted = Groups(12), Groups(12)
+        for i, k, _ in members:
+            if k >= 0.8:
+                groups.unite(0, i)
+        for a, b in L.bucket_links(members):
+            groups.unite(a, b)
+        for i in range(12):
+            for k in range(i):
+                if j(forms[i], forms[k]) >= 0.8:
+                    wanted.unite(i, k)
+        assert [groups.find(i) for i in range(12)] == [wanted.find(i) for i in range(12)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 BATCH_BYTES = 16 * 1024 * 1024
 BATCH_ROWS = 2000
-ROWS_PER_PARTITION = 500_000
+ROWS_PER_PARTITION = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,16 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}"
+
+
 def new_place(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/textloom/{label}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def gather(df: DataFrame, rows: int) -> DataFrame:
-    """df in no more partitions than `rows` rows call for: two for each of the cluster's cores, or one for each ROWS_PER_PARTITION rows.
-
-    Partitions are merged where they lie, without a shuffle; each is still worked through on its own.
-    """
-    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, rows // ROWS_PER_PARTITION))
+    """df in one partition for each ROWS_PER_PARTITION rows, where that is fewer than it has. Partitions are merged where they lie, without a shuffle."""
+    return df.coalesce(max(2, -(-rows // ROWS_PER_PARTITION)))
 
 
 def cut(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
@@ -51,6 +53,12 @@ def cut(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Remove this application's tables from the shared folder; for when its results have been written."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of a bounded size, so that very long texts never meet in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
@@ -63,6 +71,47 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def cut_map(df: DataFrame, fn, schema: str, label: str) -> DataFrame:
+    """df.mapInArrow as a table in the shared folder, its files written where the rows are made.
+
+    Each task writes one file under a name of its own and gives the name back; only the files of tasks that finished
+    are read, so what lost executors and repeated tasks leave behind counts for nothing. The driver gets one name a
+    task. Where pyarrow does not know the folder's store, Spark writes the table.
+    """
+    from pyarrow import fs
+
+    spark = df.sparkSession
+    place = new_place(spark, label)
+    try:
+        fs.FileSystem.from_uri(place)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return cut(arrow_map(df, fn, schema), label)
+
+    def run(batches):
+        from pyarrow import fs, parquet
+
+        store, folder = fs.FileSystem.from_uri(place)
+        name, writer, held, weight = f"part-{uuid.uuid4().hex}.parquet", None, [], 0
+        for out in chain(fn(batches), [None]):
+            if out is not None:
+                held.append(out)
+                weight += out.nbytes
+            if held and (out is None or weight >= BATCH_BYTES):
+                if writer is None:
+                    store.create_dir(folder, recursive=True)
+                    writer = parquet.ParquetWriter(f"{folder}/{name}", held[0].schema, filesystem=store, compression="zstd")
+                writer.write_table(pa.Table.from_batches(held))
+                held, weight = [], 0
+        if writer:
+            writer.close()
+            yield pa.record_batch([pa.array([name])], names=["name"])
+
+    names = arrow_map(df, run, "name string").toArrow()["name"].to_pylist()
+    if not names:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{place}/{n}" for n in names])
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

@@ -22,6 +22,7 @@ empty result; other columns, whatever their names, are passed on by `dedup` and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_map, batch, cut, gather, only
+from textloom.llm.common import arrow_map, batch, cut, cut_map, gather, only
 from textloom.llm.components import connected
 
 GRAM = 8
@@ -167,53 +168,68 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lead, x, y in zip(*(b.column(c).to_pylist() for c in ("lead", "form", "lead_form")), strict=True):
             if lead != last:
                 last, own = lead, shingles(y)
-            found.append(jaccard(shingles(x), own))
+            most = len(x) - GRAM + 1  # shingles that x can have
+            found.append(most / len(own) if most < SIMILARITY * len(own) else jaccard(shingles(x), own))
         yield batch(schema, b.column("h"), b.column("lead"), found)
 
 
-def _residue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, h, j, form sorted by key: of each bucket, links among failures and between them and the members they may reach."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    key0, held = None, []
+def _prefix(shingles_: frozenset) -> list[str]:
+    """The first shingles in an order that all sets share; sets at SIMILARITY or more have one of these in common."""
+    n = len(shingles_)
+    return sorted(shingles_, key=hash)[: n - math.ceil(SIMILARITY * n - 1e-9) + 1]
 
-    def flush():
-        links = []
-        failed = [(h, j, shingles(f)) for h, j, f in held if j < SIMILARITY]
-        linked = [(h, j, shingles(f)) for h, j, f in held if j >= SIMILARITY]
-        root = {h: h for h, _, _ in failed}
-
-        def find(h):
-            while root[h] != h:
-                h = root[h]
-            return h
-
-        for i, (h, j, s) in enumerate(failed):
-            for g, _, t in failed[:i]:
-                if find(h) != find(g) and jaccard(s, t) >= SIMILARITY:
-                    links.append((h, g))
-                    root[find(h)] = find(g)
-        joined = set()  # failures already linked to the lead's component
-        for h, j, s in failed:
-            if find(h) in joined:
-                continue
-            for g, k, t in linked:
-                if k <= j + 1 - SIMILARITY + 1e-9 and jaccard(s, t) >= SIMILARITY:
+
+def bucket_links(members: list[tuple[int, float, str]]) -> list[tuple[int, int]]:
+    """Links that unite what pairs at SIMILARITY or more unite, between failures (j under SIMILARITY) and among failures and linked members.
+
+    Linked members are one component from the start. Candidates share a shingle of both prefixes, so unlike lines are
+    never compared.
+    """
+    if len(members) < 2:
+        return []
+    root = {h: h if j < SIMILARITY else None for h, j, _ in members}  # None: the lead's component
+
+    def find(h):
+        while h is not None and root[h] != h:
+            h = root[h]
+        return h
+
+    links, at, held = [], {}, []
+    for h, j, form in sorted(members, key=lambda m: (m[1] < SIMILARITY, m[0])):  # linked members first
+        own = shingles(form)
+        first = _prefix(own)
+        if j < SIMILARITY:
+            for i in sorted({i for s in first for i in at.get(s, ())}):
+                g, k, other = held[i]
+                if find(h) == find(g) or (k >= SIMILARITY and k > j + 1 - SIMILARITY + 1e-9):
+                    continue
+                if jaccard(own, other) >= SIMILARITY:
                     links.append((h, g))
-                    joined.add(find(h))
-                    break
-        return links
+                    top, below = find(g), find(h)
+                    if below is None:
+                        top, below = below, top
+                    root[below] = top
+        for s in first:
+            at.setdefault(s, []).append(len(held))
+        held.append((h, j, own))
+    return links
+
 
+def _residue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, h, j, form sorted by key -> links of each bucket."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    key0, held = None, []
     for b in batches:
         out = []
         for key, *row in zip(*(b.column(c).to_pylist() for c in ("key", "h", "j", "form")), strict=True):
             if key != key0:
-                out += flush()
+                out += bucket_links(held)
                 held.clear()
                 key0 = key
-            held.append(row)
+            held.append(tuple(row))
         if out:
             yield batch(schema, *zip(*out, strict=True))
-    if last := flush():
+    if last := bucket_links(held):
         yield batch(schema, *zip(*last, strict=True))
 
 
@@ -234,21 +250,23 @@ def _forms(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """h, form of the wanted lines, each fetched from one document that has it."""
     where = lines.where("fresh").select("h", "doc_id", "line").join(wanted, "h").groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("h", "at.*")
     asked = where.groupBy("doc_id").agg(F.collect_list(F.struct("line", "h")).alias("wanted"))  # at most a document's lines
-    return arrow_map(docs.join(asked, "doc_id").select("text", "wanted"), _pick, "h long, form string").dropDuplicates(["h"])
+    found = cut_map(docs.join(asked, "doc_id").select("text", "wanted"), _pick, "h long, form string", "forms")
+    repeated = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()  # rows that repeat a doc_id
+    return cut(found.dropDuplicates(["h"]), "forms") if repeated else found
 
 
 def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """lines(doc_id, line, h), their number, and found(node, root): the linked hashes with the least of their component."""
     docs = only(docs, "doc_id", "text").where("doc_id is not null and text is not null")
-    lines = cut(arrow_map(docs, _sign, "doc_id long, line int, h long, fresh boolean, bands array<long>"), "lines")
+    lines = cut_map(docs, _sign, "doc_id long, line int, h long, fresh boolean, bands array<long>", "lines")
     n = lines.count()
     keyed = lines.where("fresh").select("h", F.explode("bands").alias("key"))
-    stars = cut(arrow_map(keyed.repartition("key").sortWithinPartitions("key", "h"), _stars, "key long, h long, lead long"), "stars", n)
+    stars = cut_map(keyed.repartition("key").sortWithinPartitions("key", "h"), _stars, "key long, h long, lead long", "stars")
     pairs = stars.select("h", "lead").distinct()
     wanted = stars.select(F.explode(F.array("h", "lead")).alias("h")).distinct()
-    forms = cut(_forms(docs, lines, wanted), "forms", n)
+    forms = _forms(docs, lines, wanted)
     told = pairs.join(forms, "h").join(forms.select(F.col("h").alias("lead"), F.col("form").alias("lead_form")), "lead").select("h", "lead", "form", "lead_form")
-    measured = cut(arrow_map(told, _measure, "h long, lead long, j double"), "measured", n)
+    measured = cut_map(told, _measure, "h long, lead long, j double", "measured")
     links = measured.where(F.col("j") >= SIMILARITY).select(F.col("h").alias("a"), F.col("lead").alias("b"))
     more = _residual_links(stars, measured, forms)
     return lines.select("doc_id", "line", "h"), connected(links.unionByName(more), n), n
@@ -256,9 +274,11 @@ def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
 def _residual_links(stars: DataFrame, measured: DataFrame, forms: DataFrame) -> DataFrame:
     members = stars.join(measured, ["h", "lead"])
-    hopes = members.where(F.col("j") < SIMILARITY).groupBy("key").agg((F.max("j") + 1 - SIMILARITY + 1e-9).alias("reach"))
+    failed = F.when(F.col("j") < SIMILARITY, F.col("j"))
+    hopes = members.groupBy("key").agg((F.max(failed) + 1 - SIMILARITY + 1e-9).alias("reach"), F.count("*").alias("n")).where("reach is not null and n > 1").drop("n")
     met = members.join(hopes, "key").where((F.col("j") < SIMILARITY) | (F.col("j") <= F.col("reach"))).select("key", "h", "j")
-    told = met.join(forms, "h").select("key", "h", "j", "form")
+    several = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    told = met.join(several, "key").join(forms, "h").select("key", "h", "j", "form")
     return arrow_map(told.repartition("key").sortWithinPartitions("key"), _residue, "a long, b long")
 
 
@@ -298,7 +318,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     rest = F.arrow_udf(_rest, "string").asNondeterministic()  # so that no filter runs it a second time
     gone, n = drops(docs)
     found = gone.select(F.col("doc_id").alias("_doc_id"), F.col("dropped").alias("_dropped"))
-    met = gather(docs.join(found, docs.doc_id == found._doc_id, "left"), n)
+    met = gather(docs.join(found, docs.doc_id == found._doc_id, "left"), 4 * n)  # rows of text, each far longer than a line's
     touched = F.col("_dropped").isNotNull() & F.col("text").isNotNull()
     told = met.withColumn("_touched", touched).withColumn("_rest", rest(F.when(touched, F.col("text")), F.col("_dropped")))
     told = told.where(~F.col("_touched") | F.col("_rest").isNotNull())
