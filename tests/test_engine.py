@@ -31,11 +31,12 @@ def test_ingest_search_answer(spark, tmp_path):
     assert hits[0]["url"] == "https://x.y/a" and len(hits) <= 3
     with pytest.raises(ValueError):
         engine.search(asked, 21)
-    out = {r["query_id"]: r for r in engine.answer(asked).collect()}
+    answers = spark.createDataFrame(engine.answer(asked).collect(), engine.answer(asked).schema)
+    out = {r["query_id"]: r for r in answers.collect()}
     assert out[1]["mode"] == "official_rag" and out[1]["grounded"] and "birth" in out[1]["answer"].lower() and out[1]["sources"][0]["url"] == "https://x.y/a"
     assert out[1]["documents"][0]["url"] == "https://x.y/birth.pdf" and "https://x.y/birth.pdf" in out[1]["answer"]
     assert out[2]["mode"] == "conversational" and out[3]["mode"] == "general_llm" and "couldn't verify" in out[3]["answer"] and out[4]["mode"] == "general_llm"
-    engine.remember(engine.answer(asked))
+    engine.remember(answers)
     cached = {r["query_id"]: r["cached"] for r in engine.recall(asked).collect()}
     assert json.loads(cached[1])["mode"] == "official_rag" and cached[3] is None
     before = engine.stats()
