@@ -180,7 +180,9 @@ def test_residue_links_lines_that_miss_the_lead(spark):
     assert [(r["a"], r["b"]) for b in L._residue(iter([made])) for r in b.to_pylist()] == [(12, 11)]
 
 
-def test_bucket_links_equal_brute_force():
+@pytest.mark.parametrize("few", [0, 24])
+def test_bucket_links_equal_brute_force(monkeypatch, few):
+    monkeypatch.setattr(L, "FEW", few)
     rng = random.Random(11)
     for _ in range(60):
         base = [[rng.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]) + str(rng.randrange(40)) for _ in range(20)] for _ in range(3)]

@@ -42,6 +42,7 @@ SEED = 20_011
 CHUNK_CHARS = 50_000  # of new lines signed at once: their arrays stay in a core's cache
 CHUNK_LINES = 5_000
 SEEN_LINES = 300_000
+FEW = 24  # members of a bucket up to which it is compared without an index
 
 _rng = np.random.default_rng(SEED)
 _FACTORS = _rng.integers(0, 2**31, BANDS * ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -182,8 +183,8 @@ def _prefix(shingles_: frozenset) -> list[str]:
 def bucket_links(members: list[tuple[int, float, str]]) -> list[tuple[int, int]]:
     """Links that unite what pairs at SIMILARITY or more unite, between failures (j under SIMILARITY) and among failures and linked members.
 
-    Linked members are one component from the start. Candidates share a shingle of both prefixes, so unlike lines are
-    never compared.
+    Linked members are one component from the start. In buckets of more than FEW members candidates share a shingle of
+    both prefixes, so unlike lines are never compared.
     """
     if len(members) < 2:
         return []
@@ -195,14 +196,18 @@ def bucket_links(members: list[tuple[int, float, str]]) -> list[tuple[int, int]]
         return h
 
     links, at, held = [], {}, []
+    indexed = len(members) > FEW  # small buckets are cheaper to compare than to index
     for h, j, form in sorted(members, key=lambda m: (m[1] < SIMILARITY, m[0])):  # linked members first
-        own = shingles(form)
-        first = _prefix(own)
+        own = shingles(form) if indexed or j < SIMILARITY else None
+        first = _prefix(own) if indexed else ()
         if j < SIMILARITY:
-            for i in sorted({i for s in first for i in at.get(s, ())}):
-                g, k, other = held[i]
+            for i in sorted({i for s in first for i in at.get(s, ())}) if indexed else range(len(held)):
+                g, k, other, its = held[i]
                 if find(h) == find(g) or (k >= SIMILARITY and k > j + 1 - SIMILARITY + 1e-9):
                     continue
+                if other is None:
+                    other = shingles(its)
+                    held[i] = g, k, other, its
                 if jaccard(own, other) >= SIMILARITY:
                     links.append((h, g))
                     top, below = find(g), find(h)
@@ -211,7 +216,7 @@ def bucket_links(members: list[tuple[int, float, str]]) -> list[tuple[int, int]]
                     root[below] = top
         for s in first:
             at.setdefault(s, []).append(len(held))
-        held.append((h, j, own))
+        held.append((h, j, own, form))
     return links
 
 
