@@ -222,6 +222,7 @@ CONTENT_START = r"^#{1,2}\s+(?!More Menu|Home|Skip|Search)"
 # ---- chunks
 TARGET_TOKENS, MAX_TOKENS, MIN_TOKENS, OVERLAP_TOKENS = 550, 700, 100, 60
 LEGACY_MAX_WORDS, LEGACY_MIN_WORDS, LEGACY_LEAST_WORDS = 1000, 30, 3
+MIN_CHUNKED_CHARS = 50
 SECTION_TOKENS = 300
 SEMANTIC_MIN_TOKENS = 80
 FIXED_CHARS, FIXED_OVERLAP, FIXED_LEAST_CHARS = 600, 80, 50

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -51,6 +52,11 @@ def pattern(source: str, flags: str = "") -> str:
     return f"(?dU{flags})" + "".join(out)
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(c), lambda x: use(x)), 1)
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -292,12 +298,15 @@ def clean_document(c: Column) -> Column:
 
 def clean_for_chunks(c: Column) -> Column:
     """A document without frontmatter and navigation, from its first real heading, blank lines dropped."""
-    c = body(nfc(text_or_empty(c)))
-    lines = _lines(trim(replace_all(trim(c), rules.CHUNK_NOISE)))
-    starts = F.transform(lines, lambda x: trim(x).rlike(pattern(rules.CONTENT_START, "i")))
-    at = F.greatest(F.array_position(starts, True), F.lit(1)).cast("int")
-    kept = F.filter(F.transform(F.slice(lines, at, F.size(lines)), trim), lambda x: ~x.rlike(r"^(\*|-|\*\*|\*\*\*|\||\|\|)?$") & ~x.rlike(r"^\(https?://[^)]*\)$"))
-    return trim(F.regexp_replace(F.array_join(kept, "\n"), r"[ \t]{2,}", " "))
+    c = once(nfc(text_or_empty(c)), body)
+    lines = F.transform(_lines(trim(replace_all(trim(c), rules.CHUNK_NOISE))), trim)
+
+    def from_content(own: Column) -> Column:
+        starts = F.transform(own, lambda x: x.rlike(pattern(rules.CONTENT_START, "i")))
+        at = F.greatest(F.array_position(starts, True), F.lit(1)).cast("int")
+        return F.filter(F.slice(own, at, F.size(own)), lambda x: ~x.rlike(r"^(\*|-|\*\*|\*\*\*|\||\|\|)?$") & ~x.rlike(r"^\(https?://[^)]*\)$"))
+
+    return trim(F.regexp_replace(F.array_join(once(lines, from_content), "\n"), r"[ \t]{2,}", " "))
 
 
 def drop_short_lines(c: Column) -> Column:

@@ -60,8 +60,11 @@ _DOC = ["document_id", "title", "url", "language", "content"]
 def production(docs: DataFrame, target: int = rules.TARGET_TOKENS, most: int = rules.MAX_TOKENS, least: int = rules.MIN_TOKENS, tokens: C.Tokens = C.estimate_or_none) -> DataFrame:
     """Chunks along the heading hierarchy of cleaned documents: docs(document_id, title, url, language, content)."""
     budget = C.Budget(target, most, least, tokens)
-    cleaned = docs.withColumn("content", T.clean_for_chunks(F.col("content"))).where(F.length("content") >= 50)
-    make = lambda d, title, url, language, text: _rows(d, title, url, language, C.hierarchy_of(text, title or "", budget))
+    cleaned = docs.withColumn("content", T.clean_for_chunks(F.col("content")))
+
+    def make(d, title, url, language, text):  # short texts go here, where a filter would clean them a second time
+        return _rows(d, title, url, language, C.hierarchy_of(text, title or "", budget)) if len(text) >= rules.MIN_CHUNKED_CHARS else ()
+
     return per_document(cleaned, make, _DOC, _CHUNK, CHUNK_DDL)
 
 
