@@ -72,6 +72,27 @@ def test_rules_do_not_depend_on_partitions(spark, sf):
     assert sum(r[8] for r in good) >= 0.97 * len(good)
 
 
+def test_every_trusted_document_counts(spark):
+    n = 100_400
+    docs = spark.range(n).selectExpr("id doc_id", "concat('w', id % 997, ' v', id % 1009) text")
+    labels = docs.selectExpr("doc_id", "1 quality", "0 toxic")
+    assert Q.score(docs, labels).where("score <> 0").count() == 0  # trusted text and raw text are the same
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_counts_of_blocks_equal_brute_force(spark, make_docs, block):
+    rng = random.Random(6)
+    rows = [(None if i % 17 == 0 else i // 2 - 9, None if i % 19 == 0 else " ".join(rng.choice("abcdefgh") for _ in range(i % 9))) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 3 and 1, int(i % 5 == 0)) for i in range(-20, 40)] + [(None, 1, 0), (3, 1, None)], "doc_id long, quality int, toxic int")
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and not r["toxic"]} - {None}
+    wanted = [[0] * 64, [0] * 64]
+    for doc, text in rows:
+        for f in Q.features((text or "").encode().split(), Q._Words(), 6):
+            wanted[0][f] += 1
+            wanted[1][f] += doc in good
+    assert [x.tolist() for x in Q.totals(make_docs(rows), labels, 6, block)] == wanted
+
+
 def brute_stated(text):
     found = []
     for kind, pattern, least in (

@@ -27,7 +27,7 @@ from textloom.llm.common import arrow_map, batch, only, texts
 BITS = 18
 SMOOTHING = 4.0  # pseudo-count of each bucket at the trusted text's total
 THRESHOLD = -0.2
-TRUSTED_ROWS = 100_000  # labelled documents that make the trusted text, at most
+TRUSTED_BLOCK = 8_000_000  # ids of trusted documents that a task holds at once (8 bytes each)
 SCALE = 1_000_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -96,20 +96,25 @@ def base(text: bytes) -> tuple[list[bytes], tuple[int, int, int, int, int]]:
     return words, (len(words), chars, len(_SYMBOLS.findall(text)), duplicate_lines(text), repeated_words(words))
 
 
-def count_buckets(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """docs(text, trusted boolean) -> bucket, raw, trusted: counts over all rows, summed in each task before the shuffle."""
+def count_buckets(docs: DataFrame, trusted_ids, bits: int = BITS, raw_too: bool = True) -> DataFrame:
+    """docs(doc_id, text) -> bucket, raw, trusted: counts summed in each task before the shuffle.
+
+    trusted_ids: a broadcast sorted array; documents whose id is in it count as trusted. raw_too: all rows count as raw,
+    else none does and only trusted ones are split.
+    """
     schema = pa.schema([("bucket", pa.int32()), ("raw", pa.int64()), ("trusted", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, raw, trusted = _Words(), np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        ids, cache, raw, trusted = trusted_ids.value, _Words(), np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
         for b in batches:
-            flags = b.column("trusted").to_pylist()
-            each = [features(t.split(), cache, bits) for t in texts(b.column("text"))]
-            if each:
+            flags = _among(b.column("doc_id"), ids)
+            column = b.column("text") if raw_too else b.column("text").filter(pa.array(flags))
+            each = [features(t.split(), cache, bits) for t in texts(column)]
+            if raw_too and each:
                 raw += np.bincount(np.concatenate(each), minlength=1 << bits)
-            if good := [f for f, yes in zip(each, flags, strict=True) if yes]:
+            if good := [f for f, yes in zip(each, flags, strict=True) if yes] if raw_too else each:
                 trusted += np.bincount(np.concatenate(good), minlength=1 << bits)
-        at = np.flatnonzero(raw)
+        at = np.flatnonzero(raw + trusted)
         for i in range(0, len(at), 1 << 16):
             part = at[i : i + (1 << 16)]
             yield batch(schema, part.astype(np.int32), raw[part], trusted[part])
@@ -118,28 +123,45 @@ def count_buckets(docs: DataFrame, bits: int = BITS) -> DataFrame:
     return rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
 
 
-def weights(counts: DataFrame, bits: int = BITS, smoothing: float = SMOOTHING) -> np.ndarray:
-    """Log-likelihood ratio of each bucket in millionths. At most 2^bits rows reach the driver, however large the corpus."""
-    raw, trusted = np.zeros(1 << bits), np.zeros(1 << bits)
-    rows = counts.toArrow()
-    at = rows["bucket"].to_numpy()
-    raw[at], trusted[at] = rows["raw"].to_numpy(), rows["trusted"].to_numpy()
-    total, good = raw.sum(), trusted.sum()
-    if not good:
-        return np.zeros(1 << bits, np.int32)
-    ratio = np.log(trusted + smoothing) - np.log(raw * (good / total) + smoothing)  # both multinomials at the trusted total
-    return np.rint(ratio * SCALE).astype(np.int32)
+def _among(column: pa.Array, ids: np.ndarray) -> np.ndarray:
+    """Which of the column's ids are in the sorted array; a null is not."""
+    if not len(ids):
+        return np.zeros(len(column), bool)
+    x = column.fill_null(0).to_numpy(zero_copy_only=False)
+    at = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
+    return (ids[at] == x) & column.is_valid().to_numpy(zero_copy_only=False)
 
 
-def with_trust(docs: DataFrame, labels: DataFrame, bound: int = TRUSTED_ROWS) -> DataFrame:
-    """docs(doc_id, text) with trusted: a label of quality 1 and no toxicity.
+def totals(docs: DataFrame, labels: DataFrame, bits: int = BITS, block: int = TRUSTED_BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """raw, trusted counts of each bucket, over all documents and over all that a label trusts (quality 1 and no toxicity).
 
-    The trusted text is that of at most `bound` labelled documents, those of the least hash; their ids are sent to every
-    task (8 bytes each, so at most 8 * bound), and no text is shuffled. Raw counts are over all documents.
+    Trusted ids are dealt by their hash into blocks of about `block`, and a block at a time is sent to the tasks, so no
+    text is shuffled. Each further block is one more reading of the documents, of which only those of its hash go to
+    Python and only trusted ones are split. At most 2^bits rows a block reach the driver, however large the corpus.
     """
-    good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).withColumn("trusted", F.lit(True))
-    return docs.join(F.broadcast(chosen), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    spark = docs.sparkSession
+    docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    blocks = max(1, -(-good.count() // block))
+    raw, trusted = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+    for k in range(blocks):
+        own = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == k
+        shared = spark.sparkContext.broadcast(np.sort(good.where(own).toArrow()["doc_id"].to_numpy()))
+        rows = count_buckets(docs if k == 0 else docs.where(own), shared, bits, k == 0).toArrow()
+        at = rows["bucket"].to_numpy()
+        raw[at] += rows["raw"].to_numpy()
+        trusted[at] += rows["trusted"].to_numpy()
+        shared.destroy()
+    return raw, trusted
+
+
+def weights(raw: np.ndarray, trusted: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
+    """Log-likelihood ratio of each bucket in millionths."""
+    total, good = raw.sum(), trusted.sum()
+    if not good:
+        return np.zeros(len(raw), np.int32)
+    ratio = np.log(trusted + smoothing) - np.log(raw * (good / total) + smoothing)  # both multinomials at the trusted total
+    return np.rint(ratio * SCALE).astype(np.int32)
 
 
 def _judge(shared, bits: int, threshold: float):
@@ -165,7 +187,7 @@ def _judge(shared, bits: int, threshold: float):
 def score(docs: DataFrame, labels: DataFrame, bits: int = BITS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, score, kept."""
     docs = only(docs, "doc_id", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(weights(count_buckets(with_trust(docs, labels), bits), bits, smoothing))
+    shared = docs.sparkSession.sparkContext.broadcast(weights(*totals(docs, labels, bits), smoothing))
     judge = _judge(shared, bits, threshold)
     schema = pa.schema([("doc_id", pa.int64()), *[(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], ("base_failed", pa.bool_()), ("score", pa.float64()), ("kept", pa.bool_())])
 
@@ -178,8 +200,7 @@ def score(docs: DataFrame, labels: DataFrame, bits: int = BITS, smoothing: float
 
 def keep(docs: DataFrame, labels: DataFrame, bits: int = BITS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that pass, with all their columns as they were. Only texts travel to Python; nothing is shuffled for the verdict."""
-    counts = count_buckets(with_trust(only(docs, "doc_id", "text"), labels), bits)
-    shared = docs.sparkSession.sparkContext.broadcast(weights(counts, bits, smoothing))
+    shared = docs.sparkSession.sparkContext.broadcast(weights(*totals(docs, labels, bits), smoothing))
     judge = _judge(shared, bits, threshold)
 
     @F.arrow_udf("boolean")
