@@ -6,6 +6,7 @@ import pytest
 import xxhash
 
 from textloom.llm import line_dedup as L
+from textloom.llm import queries
 from textloom.llm import simhash as S
 from textloom.llm.components import connected
 
@@ -129,6 +130,40 @@ def test_line_drops_equal_brute_force(spark, sf):
     assert got == wanted and len(wanted) > 5
 
 
+def brute_drops_of_all_lines(rows):
+    """doc_id -> dropped lines, every line with a word compared with every other."""
+    lines = sorted({(d, i, " ".join(x.lower().split())) for d, t in rows if d is not None and t for i, x in enumerate(t.split("\n")) if x.strip()})
+    forms = sorted({f for _, _, f in lines})
+    grams, groups = [{f[i : i + 8] for i in range(len(f) - 7)} for f in forms], Groups(len(forms))
+    for i, a in enumerate(grams):
+        for j in range(i):
+            b = grams[j]
+            if a and b and 10 * min(len(a), len(b)) >= 8 * max(len(a), len(b)) and 10 * len(a & b) >= 8 * len(a | b):
+                groups.unite(i, j)
+    at, seen, out = {f: i for i, f in enumerate(forms)}, set(), {}
+    for d, i, f in lines:
+        root = groups.find(at[f])
+        if root in seen:
+            out.setdefault(d, []).append(i)
+        seen.add(root)
+    return out
+
+
+def test_query_drops_short_lines_as_brute_force_does(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    wanted = brute_drops_of_all_lines([(r["doc_id"], r["text"]) for r in docs.collect()])
+    got = {r["doc_id"]: [int(x) for x in r["dropped"].split(",")] for r in queries.op8_line_dedup(spark, sf).collect() if r["dropped"]}
+    assert got == wanted and wanted != brute_drops([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_short_lines_and_lines_without_blanks(spark, make_docs):
+    passage = "これは空白のない長い一行であり、単語の数では短い行と見なされてしまうものです"
+    rows = [(1, f"}}\nAll rights reserved.\n{passage}\nabcdefgh"), (2, f" }}\nall  rights reserved.\n \n{passage}。\nAbcdefgh\nabcdefgi"), (3, "}\n\nown"), (4, "}\n}"), (5, " \n")]
+    out = {r["doc_id"]: r["dropped"] for r in L.report(make_docs(rows), short=True).collect()}
+    assert out == {1: "", 2: "0,1,3,4", 3: "0", 4: "0,1", 5: ""}
+    assert {r["doc_id"]: r["text"] for r in L.dedup(make_docs(rows), short=True).collect()} == {1: rows[0][1], 2: " \nabcdefgi", 3: "\nown", 5: " \n"}
+
+
 def test_bands_recall_at_the_threshold():
     rng = random.Random(8)
     found = total = 0

@@ -1,8 +1,10 @@
 """Fuzzy line dedup: character-shingle MinHash, banding, exact Jaccard verification, distributed union-find.
 
-Lines are compared by the sets of 8-character shingles of their normal form (lower case, white space collapsed). Lines
-of at least 5 words and 24 characters take part; others are always kept. Two lines link if the Jaccard similarity of
-their sets is 0.8 or more; of every component the line that comes first, by doc_id and line number, is kept.
+Lines are compared by the sets of 8-character shingles of their normal form (lower case, white space collapsed). With
+`short`, as the query and the pipeline have it, every line with a word takes part: lines of fewer than 8 characters,
+which have no shingle, link if their forms are equal. Without it lines of fewer than 5 words or 24 characters are
+always kept. Two lines link if the Jaccard similarity of their sets is 0.8 or more; of every component the line that
+comes first, by doc_id and line number, is kept.
 
 1. Each task signs the lines it meets: 32 minima, as 8 bands of 4 rows. A pair at 0.8 shares a band with probability
    0.985, one at 0.9 with 0.9998. Equal lines share a hash and are signed once a task.
@@ -51,13 +53,13 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def normal(line: str) -> str | None:
-    """The form in which a line is compared; None if it takes no part."""
+def normal(line: str, short: bool = False) -> str | None:
+    """The form in which a line is compared; None if it takes no part. short: every line with a word does."""
     words = line.lower().split()
-    if len(words) < MIN_WORDS:
+    if len(words) < (1 if short else MIN_WORDS):
         return None
     joined = " ".join(words)
-    return joined if len(joined) >= MIN_CHARS else None
+    return joined if short or len(joined) >= MIN_CHARS else None
 
 
 def line_hash(form: str) -> int:
@@ -107,7 +109,7 @@ def jaccard(a: frozenset, b: frozenset) -> float:
 _LINES = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("h", pa.int64()), ("fresh", pa.bool_()), ("bands", pa.list_(pa.int64()))])
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], short: bool = False) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     docs, lines, hashes, forms, fresh = [], [], [], [], []
     chars = 0
@@ -122,10 +124,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             for number, line in enumerate(text.split("\n")):
-                if (form := normal(line)) is None:
+                if (form := normal(line, short)) is None:
                     continue
                 h = line_hash(form)
-                new = h not in seen
+                new = len(form) >= GRAM and h not in seen  # a line without a shingle is compared by its hash alone
                 if new:
                     if len(seen) >= SEEN_LINES:
                         seen.clear()
@@ -245,7 +247,7 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, wanted in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
             lines = text.split("\n")
             for w in wanted:
-                if w["line"] < len(lines) and (form := normal(lines[w["line"]])) is not None and line_hash(form) == w["h"]:
+                if w["line"] < len(lines) and (form := normal(lines[w["line"]], True)) is not None and line_hash(form) == w["h"]:
                     hashes.append(w["h"])
                     forms.append(form)
         yield batch(schema, hashes, forms)
@@ -260,10 +262,10 @@ def _forms(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return cut(found.dropDuplicates(["h"]), "forms") if repeated else found
 
 
-def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+def line_components(docs: DataFrame, short: bool = False) -> tuple[DataFrame, DataFrame, int]:
     """lines(doc_id, line, h), their number, and found(node, root): the linked hashes with the least of their component."""
     docs = only(docs, "doc_id", "text").where("doc_id is not null and text is not null")
-    lines = cut_map(docs, _sign, "doc_id long, line int, h long, fresh boolean, bands array<long>", "lines")
+    lines = cut_map(docs, lambda batches: _sign(batches, short), "doc_id long, line int, h long, fresh boolean, bands array<long>", "lines")
     n = lines.count()
     keyed = lines.where("fresh").select("h", F.explode("bands").alias("key"))
     stars = cut_map(keyed.repartition("key").sortWithinPartitions("key", "h"), _stars, "key long, h long, lead long", "stars")
@@ -287,9 +289,9 @@ def _residual_links(stars: DataFrame, measured: DataFrame, forms: DataFrame) ->
     return arrow_map(told.repartition("key").sortWithinPartitions("key"), _residue, "a long, b long")
 
 
-def drops(docs: DataFrame) -> tuple[DataFrame, int]:
+def drops(docs: DataFrame, short: bool = False) -> tuple[DataFrame, int]:
     """doc_id, dropped (array of line numbers) of the documents that lose lines; and the number of lines that took part."""
-    lines, found, n = line_components(docs)
+    lines, found, n = line_components(docs, short)
     rooted = lines.join(found, lines.h == found.node, "left").select("doc_id", "line", F.coalesce("root", "h").alias("root"))
     place = F.struct("doc_id", "line")
     first = rooted.groupBy("root").agg(F.min(place).alias("keep"), F.max(place).alias("last")).where("keep <> last").select("root", "keep")
@@ -297,11 +299,11 @@ def drops(docs: DataFrame) -> tuple[DataFrame, int]:
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped")), n
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, short: bool = False) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped (line numbers from 0, comma-joined) of every document."""
     text = F.coalesce("text", F.lit(""))
     own = docs.select("doc_id", (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
-    gone, n = drops(docs)
+    gone, n = drops(docs, short)
     told = gather(own.join(gone, "doc_id", "left"), n)
     return told.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"))
 
@@ -318,10 +320,10 @@ def _rest(text: pa.Array, dropped: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, short: bool = False) -> DataFrame:
     """The documents without their dropped lines, n_chars (where there is such a column) recounted; those left without a word go."""
     rest = F.arrow_udf(_rest, "string").asNondeterministic()  # so that no filter runs it a second time
-    gone, n = drops(docs)
+    gone, n = drops(docs, short)
     found = gone.select(F.col("doc_id").alias("_doc_id"), F.col("dropped").alias("_dropped"))
     met = gather(docs.join(found, docs.doc_id == found._doc_id, "left"), 4 * n)  # rows of text, each far longer than a line's
     touched = F.col("_dropped").isNotNull() & F.col("text").isNotNull()

@@ -41,7 +41,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(table(spark, sf_dir, "documents"))
+    return line_dedup.report(table(spark, sf_dir, "documents"), short=True)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
