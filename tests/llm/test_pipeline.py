@@ -23,6 +23,13 @@ def test_stages_on_an_empty_table(spark, sf):
         assert stage(spark, docs, sf).count() == 0
 
 
+def test_exact_copies_with_short_lines_leave_no_stub(spark, make_docs, sf):
+    text = "Title\nthis line is long enough to take part in it all\nHaanth.\nand so is this other line of the document"
+    docs = make_docs([(1, text), (2, text), (3, text + "\n"), (4, "Title\nwords of its own that no other document has in it")])
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, docs, sf).collect()}
+    assert kept == {1: text, 4: "words of its own that no other document has in it"}
+
+
 def test_run_packs_what_is_kept(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 50
