@@ -113,7 +113,7 @@ def test_packing_beats_first_fit_of_arrival():
     assert bins <= 1.01 * np.ceil(sizes.sum() / 2048)
 
 
-@pytest.mark.parametrize("text", ["", "plain words, 12's  and\n\n more \t x", "naïve café – “quoted”…", "日本語 текст 😀 ﬁ    x　", "<|endoftext|> as text", "a" * 5000, "­​‎ z", "ǅ ʰ ² ½ Ⅷ"])
+@pytest.mark.parametrize("text", ["", "plain words, 12's  and\n\n more \t x", "naïve café – “quoted”…", "日本語 текст 😀 ﬁ    x　", "<|endoftext|> as text", "a" * 5000, "­​‎ z", "ǅ ʰ ² ½ Ⅷ", " " * 2_000_000, "a\n" + "\n" * 2_000_000 + "b", "é" * 2_000_000, "x " * 3000 + "\t " * 3000])
 def test_ids_are_those_of_tokenizers(text):
     whole = Tokenizer.from_file(JSON)
     whole.encode_special_tokens = True
@@ -129,6 +129,39 @@ def test_ids_of_every_plain_character():
         assert encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, hex(ord(c))
 
 
+def brute_best_two_fit(lengths, size):
+    """Bins by the plain rule over single pieces: fill with the longest that fits, then give the smallest up for the best two."""
+    left, bins = sorted(lengths), []
+    while left:
+        own, gap = [], size
+        while fits := [x for x in left if x <= gap]:
+            own.append(fits[-1])
+            left.remove(fits[-1])
+            gap -= fits[-1]
+        if gap and len(own) > 1:
+            room = gap + own[-1]
+            pairs = [(left[i] + left[j], left[j], left[i]) for j in range(len(left)) for i in range(j) if own[-1] < left[i] + left[j] <= room]
+            if pairs:
+                total, b, a = max(pairs)
+                left.append(own.pop())
+                for x in (a, b):
+                    left.remove(x)
+                    own.append(x)
+                left.sort()
+        bins.append(sum(own))
+    return bins
+
+
+@pytest.mark.parametrize("size", [10, 40, 200])
+def test_bins_are_as_full_as_those_of_the_plain_rule(size):
+    rng = np.random.default_rng(size)
+    for _ in range(15):
+        lengths = rng.integers(1, size + 1, 60).tolist()
+        histogram = {x: lengths.count(x) for x in set(lengths)}
+        made = [sum(b) for b, times in P.pack(histogram, size) for _ in range(times)]
+        assert len(made) <= len(brute_best_two_fit(lengths, size)) + 1 and sum(made) == sum(lengths)
+
+
 def check_packing(rows, out, length):
     whole = Tokenizer.from_file(JSON)
     whole.encode_special_tokens = True

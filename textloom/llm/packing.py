@@ -12,8 +12,9 @@ wrote: the pass numbers its pieces of a length itself, and lanes' starts are run
 key's rows are ever gathered, however common a length.
 
 Ids are those of `tokenizers` for the given file. Texts of Latin letters, digits, common marks and white space go
-through tiktoken on the same vocabulary, which yields the same ids at a quarter of the cost; all others, and texts
-that hold the special token's string, go through tokenizers itself.
+through tiktoken on the same vocabulary, which yields the same ids at a quarter of the cost; all others, texts that
+hold the special token's string, and texts with a run of LONG_RUN blanks or of LONG_RUN other characters, for which
+tiktoken's matcher has no room on its stack, go through tokenizers itself.
 
 Defined cases: a null or empty text is one piece of one id; repeated rows and null doc_ids keep their own pieces; an
 empty table gives an empty result; a text of any length is cut as above; other columns are ignored.
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from textloom.llm.common import arrow_map, batch, cut, only
 
 LENGTH = 2048
+LONG_RUN = 4096
 
+_RUN = re.compile(r"\s{%d}|\S{%d}" % (LONG_RUN, LONG_RUN))
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ‐-‧‰-⁞€]*")
 
 
@@ -57,7 +60,7 @@ class Encoder:
             self.fast = tiktoken.Encoding(ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast and _PLAIN.fullmatch(text) and "<|endoftext|>" not in text:
+        if self.fast and _PLAIN.fullmatch(text) and "<|endoftext|>" not in text and (len(text) < LONG_RUN or not _RUN.search(text)):
             return np.array(self.fast.encode_ordinary(text), "<u4")
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
 
