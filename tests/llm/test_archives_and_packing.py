@@ -53,16 +53,64 @@ def random_case(rng):
     return [*docs, (None, say(9)), (7, None), (8, "")], items
 
 
-@pytest.mark.parametrize("limit", [D.BLOCK_BYTES, 100])
-def test_hits_equal_brute_force(spark, make_docs, limit):
-    docs, items = random_case(random.Random(limit))
-    benchmark = spark.createDataFrame(items, "item_id long, text string")
+@pytest.mark.parametrize("bits", [64, D.BLOOM_BITS])  # a filter that is full, and one that is not
+def test_hits_equal_brute_force(spark, make_docs, bits):
+    docs, items = random_case(random.Random(bits))
+    benchmark = spark.createDataFrame([(i, t, 1, "x") for i, t in items], "item_id long, text string, rid long, span string")
     wanted = brute_check(docs, items)
-    got = [tuple(r) for r in D.check(make_docs(docs), benchmark, limit=limit).collect()]
+    got = [tuple(r) for r in D.check(make_docs(docs), benchmark, bits=bits).collect()]
     assert sorted(got, key=key) == sorted(wanted, key=key)
-    kept = D.clean(make_docs(docs), benchmark, limit=limit)
+    ids = lambda kept: sorted(str(r["doc_id"]) for r in kept.collect())
+    kept = D.clean(make_docs(docs), benchmark, bits=bits)
     assert kept.columns == make_docs([]).columns
-    assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(str(w[0]) for w in wanted if not w[-1])
+    assert ids(kept) == sorted(str(w[0]) for w in wanted if not w[2])
+    assert ids(D.clean(make_docs(docs), benchmark, share=D.SHARE)) == sorted(str(w[0]) for w in wanted if not w[-1])
+
+
+@pytest.mark.parametrize("size", range(1, 21))
+def test_each_class_of_length_guarantees_its_windows(size):
+    """A document that holds a window keeps the window's fingerprint, whatever stands around it."""
+    rng, steps = random.Random(size), D.classes()
+    size = min(size, 13)
+    kind = D.class_of(size, steps)
+    least, gram, width = steps[kind]
+    assert least <= size and width >= 1
+    everything = np.full(1, 2**64 - 1, np.uint64)  # a filter that lets all through
+    for _ in range(20):
+        say = lambda n: [f"w{rng.randrange(5)}" for _ in range(n)]
+        window, words = say(size), say(rng.randrange(30))
+        text = D.Words([" ".join(words).encode(), " ".join(words + window + words[::-1]).encode(), b""])
+        assert text.counts() == [len(words), 2 * len(words) + size, 0]
+        found = [(f, p, around) for i, _, f, p, around in D.candidates(text, [kind], steps, everything) if i == 1]
+        fp, at = D.fingerprint(D.Words([" ".join(window).encode()]).hashes(0, size), gram, width), len(words)
+        assert any(f == fp and p <= at and p + len(around) >= at + size for f, p, around in found)
+
+
+def test_windows_across_chunks_of_a_long_text(monkeypatch, spark, make_docs):
+    monkeypatch.setattr(D, "CHUNK_WORDS", 20)
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(3)}" for _ in range(300)]
+    items = [(i, " ".join(words[i * 7 : i * 7 + rng.choice([2, 9, 13, 20])])) for i in range(40)]
+    steps = D.classes()
+    everything = np.full(1, 2**64 - 1, np.uint64)
+    text = D.Words([" ".join(words).encode()])
+    for _, t in items:
+        window = t.split()[:13]
+        kind = D.class_of(len(window), steps)
+        fp = D.fingerprint(D.Words([" ".join(window).encode()]).hashes(0, len(window)), *steps[kind][1:])
+        at = {i for i in range(len(words)) if words[i : i + len(window)] == window}
+        seen = {i for _, _, f, p, around in D.candidates(text, [kind], steps, everything) if f == fp for i in at if p <= i and p + len(around) >= i + len(window)}
+        assert seen == at
+
+
+def test_a_window_that_many_items_share(spark, make_docs):
+    shared = " ".join(f"template{i}" for i in range(13))
+    items = spark.createDataFrame([(i, f"{shared} own{i}") for i in range(300)] + [(None, "an item without a name has thirteen words of its own in a row")], "item_id long, text string")
+    rows = {r["doc_id"]: r for r in D.check(make_docs([(1, shared), (2, f"{shared} own7"), (3, "an item without a name has thirteen words of its own in a row")]), items).collect()}
+    digest = hashlib.sha256(",".join(sorted(map(str, range(300)))).encode()).hexdigest()
+    assert (rows[1]["n_hit"], rows[1]["n_items"], rows[1]["items_sha256"]) == (13, 300, digest)
+    assert (rows[2]["n_hit"], rows[2]["n_items"]) == (14, 300)
+    assert (rows[3]["n_hit"], rows[3]["n_items"], rows[3]["contaminated"]) == (14, 0, True)
 
 
 def test_hits_in_documents(spark, sf):
@@ -80,10 +128,10 @@ def test_empty_benchmark_and_documents(spark, make_docs):
 def test_winnowing_guarantee():
     rng = np.random.default_rng(3)
     for _ in range(50):
-        shared = rng.integers(1, 50, 13).astype(np.int32)
+        shared = rng.integers(1, 50, 13).astype(np.uint64)
         kept = []
         for _ in range(2):
-            ids = np.concatenate([rng.integers(1, 50, rng.integers(0, 30)), shared, rng.integers(1, 50, rng.integers(0, 30))]).astype(np.int32)
+            ids = np.concatenate([rng.integers(1, 50, rng.integers(0, 30)), shared, rng.integers(1, 50, rng.integers(0, 30))]).astype(np.uint64)
             h = D.gram_hashes(ids, D.GRAM)
             kept.append(set(h[D.winnow(h, 7)].tolist()))
         assert kept[0] & kept[1]

@@ -1,3 +1,5 @@
+import re
+
 import corpus_pipeline
 from textloom.llm import queries
 
@@ -17,6 +19,21 @@ def test_stages_keep_columns_and_take_effect(spark, sf):
     assert sizes == sorted(sizes, reverse=True) and sizes[1] < sizes[0] and sizes[-1] > 0.6 * sizes[0]
 
 
+def windows_of(text, size=13):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    k = min(size, len(words))
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if k else set()
+
+
+def test_no_benchmark_window_survives(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    held = set().union(*(windows_of(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()))
+    hit = {r["doc_id"] for r in docs.collect() if windows_of(r["text"]) & held}
+    kept = {r["doc_id"] for r in corpus_pipeline.decontamination_stage(spark, docs, sf).collect()}
+    assert hit and kept == {r["doc_id"] for r in docs.collect()} - hit
+
+
 def test_stages_on_an_empty_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -124,3 +124,16 @@ def texts(column: pa.Array) -> list[bytes]:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone: further columns, whatever their names, never meet those an operator adds."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def free_name(wanted: str, taken: list[str]) -> str:
+    """`wanted`, or with as many underscores as it takes to be no column's name (names differ by more than case)."""
+    low = {n.lower() for n in taken}
+    while wanted.lower() in low:
+        wanted += "_"
+    return wanted
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df (a table of narrow rows) marked for broadcast if it has at most `rows` rows; beyond that Spark joins it as it sees fit."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
