@@ -24,7 +24,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage to speak of."""
+    """Documents that hold no window of 13 benchmark words (nor a whole shorter item); op6's share is for its report alone."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
