@@ -53,7 +53,7 @@ def random_case(rng):
     return [*docs, (None, say(9)), (7, None), (8, "")], items
 
 
-@pytest.mark.parametrize("bits", [64, D.BLOOM_BITS])  # a filter that is full, and one that is not
+@pytest.mark.parametrize("bits", [64, D.bloom.BITS])  # a filter that is full, and one that is not
 def test_hits_equal_brute_force(spark, make_docs, bits):
     docs, items = random_case(random.Random(bits))
     benchmark = spark.createDataFrame([(i, t, 1, "x") for i, t in items], "item_id long, text string, rid long, span string")

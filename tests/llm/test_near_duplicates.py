@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from textloom.llm import line_dedup as L
 from textloom.llm import queries
@@ -106,31 +107,6 @@ def test_connected_components(spark):
 
 
 def brute_drops(rows):
-    """doc_id -> dropped lines, by exact Jaccard over all pairs of lines."""
-    lines = sorted({(d, i, f) for d, t in rows if d is not None and t for i, x in enumerate(t.split("\n")) if (f := L.normal(x))})
-    forms = sorted({f for _, _, f in lines})
-    sets, groups = [L.shingles(f) for f in forms], Groups(len(forms))
-    for i in range(len(forms)):
-        for j in range(i):
-            if min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and L.jaccard(sets[i], sets[j]) >= 0.8:
-                groups.unite(i, j)
-    at, seen, out = {f: i for i, f in enumerate(forms)}, set(), {}
-    for d, i, f in lines:
-        root = groups.find(at[f])
-        if root in seen:
-            out.setdefault(d, []).append(i)
-        seen.add(root)
-    return out
-
-
-def test_line_drops_equal_brute_force(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    wanted = brute_drops([(r["doc_id"], r["text"]) for r in docs.collect()])
-    got = {r["doc_id"]: r["dropped"] for r in L.drops(docs)[0].collect()}
-    assert got == wanted and len(wanted) > 5
-
-
-def brute_drops_of_all_lines(rows):
     """doc_id -> dropped lines, every line with a word compared with every other."""
     lines = sorted({(d, i, " ".join(x.lower().split())) for d, t in rows if d is not None and t for i, x in enumerate(t.split("\n")) if x.strip()})
     forms = sorted({f for _, _, f in lines})
@@ -149,19 +125,19 @@ def brute_drops_of_all_lines(rows):
     return out
 
 
-def test_query_drops_short_lines_as_brute_force_does(spark, sf):
+def test_line_drops_equal_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    wanted = brute_drops_of_all_lines([(r["doc_id"], r["text"]) for r in docs.collect()])
+    wanted = brute_drops([(r["doc_id"], r["text"]) for r in docs.collect()])
     got = {r["doc_id"]: [int(x) for x in r["dropped"].split(",")] for r in queries.op8_line_dedup(spark, sf).collect() if r["dropped"]}
-    assert got == wanted and wanted != brute_drops([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert got == wanted and len(wanted) > 5
 
 
 def test_short_lines_and_lines_without_blanks(spark, make_docs):
     passage = "これは空白のない長い一行であり、単語の数では短い行と見なされてしまうものです"
     rows = [(1, f"}}\nAll rights reserved.\n{passage}\nabcdefgh"), (2, f" }}\nall  rights reserved.\n \n{passage}。\nAbcdefgh\nabcdefgi"), (3, "}\n\nown"), (4, "}\n}"), (5, " \n")]
-    out = {r["doc_id"]: r["dropped"] for r in L.report(make_docs(rows), short=True).collect()}
+    out = {r["doc_id"]: r["dropped"] for r in L.report(make_docs(rows)).collect()}
     assert out == {1: "", 2: "0,1,3,4", 3: "0", 4: "0,1", 5: ""}
-    assert {r["doc_id"]: r["text"] for r in L.dedup(make_docs(rows), short=True).collect()} == {1: rows[0][1], 2: " \nabcdefgi", 3: "\nown", 5: " \n"}
+    assert {r["doc_id"]: r["text"] for r in L.dedup(make_docs(rows)).collect()} == {1: rows[0][1], 2: " \nabcdefgi", 3: "\nown", 5: " \n"}
 
 
 def test_bands_recall_at_the_threshold():
@@ -190,16 +166,29 @@ def test_band_of_last_line_and_single_line():
 def test_line_dedup_edge_cases(spark, make_docs):
     line = "this line is long enough to take part in it all"
     near = line.replace("enough", "enougH") + "!"
-    rows = [(1, f"{line}\nshort\n"), (2, f"own words of the second document are here\n{near}"), (3, line), (3, line), (4, None), (5, ""), (None, line), (6, f"{line}\n{line}\nshort"), (7, "word " * 40000)]
+    rows = [(1, f"{line}\nshort\n"), (2, f"own words of the second document are here\n{near}"), (3, line), (3, line), (4, None), (5, ""), (None, line), (6, f"{line}\n{line}\nshort\nsix"), (7, "word " * 40000)]
     out = {r["doc_id"]: r for r in L.report(make_docs(rows)).collect()}
-    assert out[1]["dropped"] == "" and out[2]["dropped"] == "1" and out[3]["dropped"] == "0" and out[6]["dropped"] == "0,1" and out[4]["n_lines"] == 1
+    assert out[1]["dropped"] == "" and out[2]["dropped"] == "1" and out[3]["dropped"] == "0" and out[6]["dropped"] == "0,1,2" and out[4]["n_lines"] == 1
     kept = L.dedup(make_docs(rows)).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == ["1", "2", "4", "5", "6", "7", "None"]
     six = next(r for r in kept if r["doc_id"] == 6)
-    assert six["text"] == "short" and six["n_chars"] == 5 and six["key"] == "x"
+    assert six["text"] == "six" and six["n_chars"] == 3 and six["key"] == "x"
     assert L.report(make_docs([])).count() == 0 and L.dedup(make_docs([])).count() == 0
 
 
+def test_names_that_operators_use_inside(spark):
+    names = ["own_doc_id", "dropped", "rest", "root", "h", "Text_Key", "near_id", "fp", "component_id", "rid"]
+    ddl = "doc_id long, text string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    text = "a line of words that stands in two documents as it is"
+    docs = spark.createDataFrame([(1, text, 1, *names), (2, f"{text}\nown line of the second one", 2, *names)], ddl)
+    kept = L.dedup(docs).collect()
+    assert [(r["doc_id"], r["text"]) for r in sorted(kept)] == [(1, text), (2, "own line of the second one")]
+    one = S.keep_one(docs.withColumn("text", F.lit(text))).collect()
+    assert [r["doc_id"] for r in one] == [1]
+    for r in kept + one:
+        assert list(r.asDict()) == docs.columns and [r[n] for n in names] == names
+
+
 def test_residue_links_lines_that_miss_the_lead(spark):
     import pyarrow as pa
 

@@ -33,13 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_map, batch, broadcast_if_small, cut, cut_map, free_name, only, texts
+from textloom.llm import bloom
+from textloom.llm.common import batch, broadcast_if_small, cut, cut_map, free_name, only, texts
 
 WINDOW = 13
 GRAM = 7
 SHARE = 20  # contaminated where SHARE * n_hit >= n_words
-BLOOM_BITS = 1 << 27  # 16 MB, whatever the benchmark
-PROBES = 4
 CHUNK_WORDS = 1 << 16  # winnowed at once
 PART_BYTES = 1 << 20  # of texts taken together
 
@@ -164,38 +163,6 @@ def windows(benchmark: DataFrame, steps: list[tuple[int, int, int]]) -> DataFram
     return cut_map(rows, _windows(steps), "item string, size int, class int, fp long, span string", "windows")
 
 
-def _bit_places(fp: np.ndarray, bits: int) -> np.ndarray:
-    """PROBES places of each fingerprint in a filter of `bits` (a power of two)."""
-    x = fp.view(np.uint64)
-    step = (x * _MIX) | np.uint64(1)
-    return np.stack([(x + np.uint64(i) * step) * _BASE >> np.uint64(64 - bits.bit_length() + 1) for i in range(PROBES)]).astype(np.int64)
-
-
-def bloom(held: DataFrame, bits: int = BLOOM_BITS) -> tuple[np.ndarray, list[int]]:
-    """A Bloom filter over held's fp as 64-bit words, or-ed in the tasks, and held's classes. At most bits / 64 rows and one a class reach the driver."""
-    schema = pa.schema([("word", pa.int64()), ("value", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.unique(_bit_places(b.column("fp").to_numpy(), bits).ravel())
-            if len(at):
-                word, first = np.unique(at >> 6, return_index=True)
-                yield batch(schema, word, np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first).view(np.int64))
-                kinds = np.unique(b.column("class").to_numpy())
-                yield batch(schema, -1 - kinds.astype(np.int64), np.zeros(len(kinds), np.int64))
-
-    rows = arrow_map(held.select("fp", "class"), run, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
-    word, value = rows["word"].to_numpy(), rows["value"].to_numpy().view(np.uint64)
-    out = np.zeros(bits // 64, np.uint64)
-    out[word[word >= 0]] = value[word >= 0]
-    return out, sorted((-1 - word[word < 0]).tolist())
-
-
-def _passes(table: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    at = _bit_places(fp, 64 * len(table))
-    return ((table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0)
-
-
 # ---- the documents
 
 
@@ -215,7 +182,7 @@ def candidates(words: Words, kinds: list[int], steps: list[tuple[int, int, int]]
             most = longest if kind == 0 else steps[kind - 1][0] - 1  # a window of this class is no longer
             grams = gram_hashes(h, gram)
             kept = winnow(grams, width)
-            kept = kept[_passes(table, grams[kept])]
+            kept = kept[bloom.passes(table, grams[kept])]
             for p, text in zip(kept.tolist(), (np.searchsorted(words.first, kept + at, side="right") - 1).tolist(), strict=True):
                 low, high = int(words.first[text]), int(words.first[text + 1])
                 begin, end = max(low, at, at + p - width + 1), min(high, stop, at + p + most)
@@ -290,7 +257,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, bits:
     """A row of each document (extra columns, rid, n_words, hits), and the verdicts of those with hits."""
     steps = classes(window, gram)
     held = windows(only(benchmark, "item_id", "text"), steps)
-    table, kinds = bloom(held, bits)
+    table, kinds = bloom.build(held, "fp", bits, "class")
     shared = docs.sparkSession.sparkContext.broadcast(table)
     columns = "".join(f"{n} {ddl}, " for n, _, ddl in extra)
     ddl = f"{columns}rid long, n_words long, hits array<struct<class:int,fp:long,from:int,words:array<string>>>"
@@ -298,7 +265,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, bits:
     return found, _verdicts(found, held)
 
 
-def check(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = BLOOM_BITS) -> DataFrame:
+def check(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = bloom.BITS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
     docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     found, verdicts = _found(docs, benchmark, window, gram, bits, [("doc_id", pa.int64(), "long")])
@@ -314,7 +281,7 @@ def check(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = BLOOM_BITS, share: int | None = None) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = bloom.BITS, share: int | None = None) -> DataFrame:
     """The documents that hold no window of the benchmark, with all their columns as they were.
 
     share: where given, a document goes only if share times its hit words are at least its words. Documents to go are

@@ -1,20 +1,21 @@
 """Fuzzy line dedup: character-shingle MinHash, banding, exact Jaccard verification, distributed union-find.
 
-Lines are compared by the sets of 8-character shingles of their normal form (lower case, white space collapsed). With
-`short`, as the query and the pipeline have it, every line with a word takes part: lines of fewer than 8 characters,
-which have no shingle, link if their forms are equal. Without it lines of fewer than 5 words or 24 characters are
-always kept. Two lines link if the Jaccard similarity of their sets is 0.8 or more; of every component the line that
+Lines are compared by the sets of 8-character shingles of their normal form (lower case, white space collapsed). Every
+line with a word takes part, in any script: lines of fewer than 8 characters, which have no shingle, link if their forms
+are equal. Two lines link if the Jaccard similarity of their sets is 0.8 or more; of every component the line that
 comes first, by doc_id and line number, is kept.
 
 1. Each task signs the lines it meets: 32 minima, as 8 bands of 4 rows. A pair at 0.8 shares a band with probability
    0.985, one at 0.9 with 0.9998. Equal lines share a hash and are signed once a task.
 2. Bands are dealt out by their hash and sorted; a bucket streams by and each member is paired with the bucket's first
    (its lead), so a bucket of n lines gives n - 1 pairs, never n squared, and no bucket is held.
-3. Pairs are verified on the lines' texts, fetched for candidate lines alone. Where a member fails against its lead,
+3. Pairs are verified on the lines' forms, which the signing pass wrote aside; a Bloom filter of fixed size over the
+   candidates keeps all others from the shuffle, and no document is read or moved again. Where a member fails against its lead,
    the bucket's failures are compared with each other, and with those members that the triangle inequality of
    Jaccard distance still allows: a member x linked to the lead can be within 0.2 of a failure y only if
    j(x) <= j(y) + 0.2. Comparisons inside one component are skipped; links alone are put out.
-4. Links are united by large-star and small-star rounds, and occurrences by a minimum over each component.
+4. Links are united by large-star and small-star rounds, and occurrences by a minimum over each component. A component's
+   minimum is a table before occurrences are joined with it, so that Spark can split the occurrences of a very common line.
 
 Defined cases: null and empty texts have no lines to drop; documents of a null doc_id are returned as they are and their
 lines count for nobody; rows that repeat a doc_id are one document, so a line is not its own duplicate; ties are decided by
@@ -33,11 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_map, batch, cut, cut_map, gather, only
+from textloom.llm import bloom
+from textloom.llm.common import arrow_map, batch, cut, cut_map, free_name, gather, only
 from textloom.llm.components import connected
 
 GRAM = 8
-MIN_WORDS, MIN_CHARS = 5, 24
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 4
 SEED = 20_011
@@ -53,13 +54,9 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def normal(line: str, short: bool = False) -> str | None:
-    """The form in which a line is compared; None if it takes no part. short: every line with a word does."""
-    words = line.lower().split()
-    if len(words) < (1 if short else MIN_WORDS):
-        return None
-    joined = " ".join(words)
-    return joined if short or len(joined) >= MIN_CHARS else None
+def normal(line: str) -> str | None:
+    """The form in which a line is compared; None if it has no word."""
+    return " ".join(line.lower().split()) or None
 
 
 def line_hash(form: str) -> int:
@@ -106,17 +103,17 @@ def jaccard(a: frozenset, b: frozenset) -> float:
     return both / (len(a) + len(b) - both)
 
 
-_LINES = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("h", pa.int64()), ("fresh", pa.bool_()), ("bands", pa.list_(pa.int64()))])
+_LINES = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("h", pa.int64()), ("fresh", pa.bool_()), ("bands", pa.list_(pa.int64())), ("form", pa.string())])
 
 
-def _sign(batches: Iterator[pa.RecordBatch], short: bool = False) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     docs, lines, hashes, forms, fresh = [], [], [], [], []
     chars = 0
 
     def flush():
-        signed = iter(bands(forms).tolist()) if forms else iter(())
-        out = batch(_LINES, docs, lines, hashes, fresh, [next(signed) if new else None for new in fresh])
+        signed, own = iter(bands(forms).tolist()) if forms else iter(()), iter(forms)
+        out = batch(_LINES, docs, lines, hashes, fresh, [next(signed) if new else None for new in fresh], [next(own) if new else None for new in fresh])
         for x in (docs, lines, hashes, forms, fresh):
             x.clear()
         return out
@@ -124,7 +121,7 @@ def _sign(batches: Iterator[pa.RecordBatch], short: bool = False) -> Iterator[pa
     for b in batches:
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             for number, line in enumerate(text.split("\n")):
-                if (form := normal(line, short)) is None:
+                if (form := normal(line)) is None:
                     continue
                 h = line_hash(form)
                 new = len(form) >= GRAM and h not in seen  # a line without a shingle is compared by its hash alone
@@ -240,38 +237,29 @@ def _residue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(schema, *zip(*last, strict=True))
 
 
-def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("h", pa.int64()), ("form", pa.string())])
-    for b in batches:
-        hashes, forms = [], []
-        for text, wanted in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
-            lines = text.split("\n")
-            for w in wanted:
-                if w["line"] < len(lines) and (form := normal(lines[w["line"]], True)) is not None and line_hash(form) == w["h"]:
-                    hashes.append(w["h"])
-                    forms.append(form)
-        yield batch(schema, hashes, forms)
+def _forms(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """h, form of the wanted lines, one row each."""
+    table, _ = bloom.build(wanted, "h")
+    shared = lines.sparkSession.sparkContext.broadcast(table)
 
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(bloom.passes(shared.value, b.column("h").to_numpy())))
 
-def _forms(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h, form of the wanted lines, each fetched from one document that has it."""
-    where = lines.where("fresh").select("h", "doc_id", "line").join(wanted, "h").groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("h", "at.*")
-    asked = where.groupBy("doc_id").agg(F.collect_list(F.struct("line", "h")).alias("wanted"))  # at most a document's lines
-    found = cut_map(docs.join(asked, "doc_id").select("text", "wanted"), _pick, "h long, form string", "forms")
-    repeated = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()  # rows that repeat a doc_id
-    return cut(found.dropDuplicates(["h"]), "forms") if repeated else found
+    hoped = arrow_map(lines.where("fresh").select("h", "form"), pick, "h long, form string")
+    return cut(hoped.join(wanted, "h", "left_semi").dropDuplicates(["h"]), "forms")
 
 
-def line_components(docs: DataFrame, short: bool = False) -> tuple[DataFrame, DataFrame, int]:
+def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """lines(doc_id, line, h), their number, and found(node, root): the linked hashes with the least of their component."""
     docs = only(docs, "doc_id", "text").where("doc_id is not null and text is not null")
-    lines = cut_map(docs, lambda batches: _sign(batches, short), "doc_id long, line int, h long, fresh boolean, bands array<long>", "lines")
+    lines = cut_map(docs, _sign, "doc_id long, line int, h long, fresh boolean, bands array<long>, form string", "lines")
     n = lines.count()
     keyed = lines.where("fresh").select("h", F.explode("bands").alias("key"))
     stars = cut_map(keyed.repartition("key").sortWithinPartitions("key", "h"), _stars, "key long, h long, lead long", "stars")
     pairs = stars.select("h", "lead").distinct()
-    wanted = stars.select(F.explode(F.array("h", "lead")).alias("h")).distinct()
-    forms = _forms(docs, lines, wanted)
+    wanted = cut(stars.select(F.explode(F.array("h", "lead")).alias("h")).distinct(), "wanted", n)
+    forms = _forms(lines, wanted)
     told = pairs.join(forms, "h").join(forms.select(F.col("h").alias("lead"), F.col("form").alias("lead_form")), "lead").select("h", "lead", "form", "lead_form")
     measured = cut_map(told, _measure, "h long, lead long, j double", "measured")
     links = measured.where(F.col("j") >= SIMILARITY).select(F.col("h").alias("a"), F.col("lead").alias("b"))
@@ -289,21 +277,21 @@ def _residual_links(stars: DataFrame, measured: DataFrame, forms: DataFrame) ->
     return arrow_map(told.repartition("key").sortWithinPartitions("key"), _residue, "a long, b long")
 
 
-def drops(docs: DataFrame, short: bool = False) -> tuple[DataFrame, int]:
+def drops(docs: DataFrame) -> tuple[DataFrame, int]:
     """doc_id, dropped (array of line numbers) of the documents that lose lines; and the number of lines that took part."""
-    lines, found, n = line_components(docs, short)
-    rooted = lines.join(found, lines.h == found.node, "left").select("doc_id", "line", F.coalesce("root", "h").alias("root"))
+    lines, found, n = line_components(docs)
+    rooted = cut(lines.join(found, lines.h == found.node, "left").select("doc_id", "line", F.coalesce("root", "h").alias("root")), "rooted", n)
     place = F.struct("doc_id", "line")
     first = rooted.groupBy("root").agg(F.min(place).alias("keep"), F.max(place).alias("last")).where("keep <> last").select("root", "keep")
-    gone = rooted.join(first, "root").where(place != F.col("keep"))
+    gone = rooted.join(cut(first, "first", n), "root").where(place != F.col("keep"))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped")), n
 
 
-def report(docs: DataFrame, short: bool = False) -> DataFrame:
+def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped (line numbers from 0, comma-joined) of every document."""
     text = F.coalesce("text", F.lit(""))
     own = docs.select("doc_id", (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
-    gone, n = drops(docs, short)
+    gone, n = drops(docs)
     told = gather(own.join(gone, "doc_id", "left"), n)
     return told.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped"))
 
@@ -320,16 +308,16 @@ def _rest(text: pa.Array, dropped: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def dedup(docs: DataFrame, short: bool = False) -> DataFrame:
+def dedup(docs: DataFrame) -> DataFrame:
     """The documents without their dropped lines, n_chars (where there is such a column) recounted; those left without a word go."""
     rest = F.arrow_udf(_rest, "string").asNondeterministic()  # so that no filter runs it a second time
-    gone, n = drops(docs, short)
-    found = gone.select(F.col("doc_id").alias("_doc_id"), F.col("dropped").alias("_dropped"))
-    met = gather(docs.join(found, docs.doc_id == found._doc_id, "left"), 4 * n)  # rows of text, each far longer than a line's
-    touched = F.col("_dropped").isNotNull() & F.col("text").isNotNull()
-    told = met.withColumn("_touched", touched).withColumn("_rest", rest(F.when(touched, F.col("text")), F.col("_dropped")))
-    told = told.where(~F.col("_touched") | F.col("_rest").isNotNull())
-    changed = {"text": F.when(F.col("_touched"), F.col("_rest")).otherwise(F.col("text"))}
+    gone, n = drops(docs)
+    doc, dropped, left = (free_name(name, docs.columns) for name in ("own_doc_id", "dropped", "rest"))
+    found = gone.select(F.col("doc_id").alias(doc), F.col("dropped").alias(dropped))
+    met = gather(docs.join(found, docs["doc_id"] == found[doc], "left"), 4 * n)  # rows of text, each far longer than a line's
+    touched = F.col(dropped).isNotNull() & F.col("text").isNotNull()
+    told = met.withColumn(left, rest(F.when(touched, F.col("text")), F.col(dropped))).where(~touched | F.col(left).isNotNull())
+    changed = {"text": F.when(touched, F.col(left)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_touched"), F.length("_rest").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return told.withColumns(changed).select(docs.columns)
+        changed["n_chars"] = F.when(touched, F.length(left).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return told.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
