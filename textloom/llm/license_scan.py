@@ -1,32 +1,36 @@
 """License scans: a trained paragraph classifier, a calibrated unknown class, and confirmation against templates.
 
-Paragraphs (lines of a text) that hold an anchor word are classified by multinomial logistic regression over the
-presence of word unigrams and bigrams. The model is fitted on the driver from the notices below, their perturbed copies and
-anchor-bearing sentences that license nothing; these last are the class `unknown`. A temperature fitted on held-out
-copies calibrates the probabilities, and a family is predicted only at probability MIN_PROBABILITY or more. A
-prediction is confirmed if the paragraph and one of the family's templates share at least half of the lesser one's
-bigrams.
-
-Everything that touches the corpus is DataFrame functions: lines are exploded behind the anchor test, distinct
-paragraphs scored once by an equi-join of their n-grams with the weights (a few thousand rows, whatever the corpus),
-and scores joined back.
-
-Defined cases: a null, empty or anchorless text has no licence paragraphs, families '' and best 'none'; rows that repeat a
-doc_id are reported once, over all their lines; null doc_ids are reported together; ties of probability go to the later family name; very
-long lines are scored whole; an empty table gives an empty result; other columns are ignored.
+A paragraph is a line of a text with its comment marks taken off, joined with the line after it where it is wrapped
+(WRAPPED: long enough, and without the end of a sentence), so a notice broken at any column is met whole. Paragraphs
+with an anchor word are classified by multinomial logistic regression over the presence of word unigrams and bigrams.
+
+The model is fitted on the driver: on the notices below, on the licences' names in every frame of FRAMES, on perturbed
+copies of both, and on anchor-bearing sentences that license nothing, which are the class `unknown`. Whole notices,
+frames and sentences are held out in turn (FOLDS), and the temperature that calibrates the probabilities is fitted on
+what the folds' models say about them. A family is predicted only at probability MIN_PROBABILITY or more. A prediction
+is confirmed if the paragraph and one of the family's templates (its notices and names) share at least half of the
+lesser one's bigrams.
+
+Everything that touches the corpus is DataFrame functions. Documents are read once: a row of each, with its paragraphs,
+is a narrow table in the shared folder. Paragraphs are scored where they stand: their n-grams meet the weights, a
+table of fixed size, and are summed in the task before one row a paragraph is shuffled, so no text is a key.
+
+Defined cases: a null, empty or anchorless text has no licence paragraphs, families '' and best 'none'; repeated rows and
+null doc_ids each keep their row; ties of probability go to the later family name; very long lines are scored whole; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import only
+from textloom.llm.common import cut, only
 
 # Notices as their publishers word them.
 NOTICES = {
@@ -114,12 +118,47 @@ OTHER = [
     "Le permis de pêche est valable pour une année et pour une personne.",
     "La licencia de obras fue concedida por el ayuntamiento en mayo.",
 ]
+# The licences' names.
+NAMES = {
+    "agpl": ["GNU Affero General Public License", "GNU AGPL", "AGPL-3.0-or-later", "AGPL-3.0-only"],
+    "apache": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0"],
+    "bsd": ["BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "3-clause BSD license", "BSD-3-Clause", "BSD-2-Clause"],
+    "cc-by": ["Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License", "CC BY 4.0", "CC-BY-4.0"],
+    "cc-by-nc": ["Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial License", "CC BY-NC 4.0", "CC-BY-NC-4.0"],
+    "cc-by-nd": ["Creative Commons Attribution-NoDerivatives 4.0 International License", "Creative Commons Attribution-NoDerivatives License", "CC BY-ND 4.0", "CC-BY-ND-4.0"],
+    "cc-by-sa": ["Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike License", "CC BY-SA 4.0", "CC-BY-SA-4.0"],
+    "cc0": ["CC0 1.0 Universal", "CC0 Public Domain Dedication", "CC0 1.0 license", "CC0-1.0"],
+    "gpl": ["GNU General Public License", "GNU GPL, version 3", "GPL version 2", "GPL-3.0-or-later", "GPL-2.0-only"],
+    "isc": ["ISC License", "ISC license"],
+    "lgpl": ["GNU Lesser General Public License", "GNU LGPL, version 3", "LGPL version 2.1", "LGPL-2.1-or-later", "LGPL-3.0-only"],
+    "mit": ["MIT License", "MIT license", "Expat (MIT) License"],
+    "mpl": ["Mozilla Public License", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "MPL 2.0", "MPL-2.0"],
+    "unlicense": ["Unlicense", "The Unlicense"],
+}
+# How projects name their licence.
+FRAMES = [
+    "Licensed under the {}.",
+    "Released under the {}.",
+    "This project is licensed under the terms of the {}.",
+    "Distributed under the {}. See the LICENSE file for details.",
+    "This software is made available to you under the {}.",
+    "License: {}",
+    "The source code of this package is published under {}; see COPYING.",
+    "SPDX-License-Identifier: {}",
+    "This work is licensed under a {}.",
+]
 UNKNOWN = "unknown"
-ANCHORS = r"(?i:\blicen[cs]|sublicens|unlicens|copyright|permission|redistribut|rights reserved|public domain|\bwarrant|spdx|\bgpl|\blgpl|\bagpl|\bmpl|\bcc0|\bcc by|creative commons|unauthorized copying|free to copy)|\b(?:Apache|MIT|BSD|ISC)\b"
+ANCHORS = r"(?i:licen[cs]|copyright|permission|redistribut|rights reserved|public domain|\bwarrant|spdx|\bl?gpl|\bagpl|\bmpl|\bcc0|\bcc[ -]by|creative commons|unauthorized copying|free to copy)|\b(?:Apache|MIT|BSD|ISC)\b"
+#: what a text with an anchor holds, in lower case or as it stands: cheap tests before any pattern
+STEMS = ["licen", "copyright", "permission", "redistribut", "reserved", "domain", "warrant", "spdx", "gpl", "mpl", "cc0", "cc by", "cc-by", "commons", "copying", "to copy"]
+PROPER = ["Apache", "MIT", "BSD", "ISC"]
+COMMENT = r"(?m)^[ \t]*(?://+|/\*+|\*+/?|#+|--+|;+|%+|<!--+)[ \t]*"
+WRAPPED = r"(?m)^([^\n]{40,120}[^\s.!?:;])[ \t]*\n[ \t]*(?=\S)"
 WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 MIN_PROBABILITY = 0.6
 MIN_SHARE, MIN_SHARED = 0.5, 2
-COPIES, STEPS, RATE, RIDGE = 24, 300, 0.5, 1e-4
+COPIES, STEPS, RATE, RIDGE = 3, 120, 3.0, 1e-4
+FOLDS = 4
 SEED = 5
 
 
@@ -142,42 +181,97 @@ def _copies(words: list[str], rng: np.random.Generator, n: int) -> list[list[str
     return out
 
 
+def _is_noise(gram: str) -> bool:
+    return any(re.fullmatch(r"w\d+", w) for w in gram.split())
+
+
 @lru_cache(maxsize=1)
-def model() -> tuple[list[str], dict[str, list[float]], list[float], float]:
-    """Classes, weights of each n-gram, biases, temperature."""
+def examples() -> tuple[list[str], np.ndarray, list[list[str]], np.ndarray]:
+    """Classes; of each training row its class, its words, and its group: the notice, frame or sentence that it comes from."""
     rng = np.random.default_rng(SEED)
     classes = sorted([*NOTICES, UNKNOWN])
-    rows = [(classes.index(c), own) for c, texts in sorted([*NOTICES.items(), (UNKNOWN, OTHER)]) for t in texts for own in _copies(words_of(t), rng, COPIES)]
+    rows = []
+    sources = [(c, t, f"{c} {i}") for c, own in sorted([*NOTICES.items(), (UNKNOWN, OTHER)]) for i, t in enumerate(own)]
+    sources += [(c, frame.format(name), frame) for c, names in sorted(NAMES.items()) for name in names for frame in FRAMES]
+    groups = {g: i for i, g in enumerate(dict.fromkeys(g for _, _, g in sources))}
+    for c, t, group in sources:
+        rows += [(classes.index(c), words, groups[group]) for words in _copies(words_of(t), rng, COPIES * (4 if group not in FRAMES else 1))]
+    return classes, np.array([c for c, _, _ in rows]), [w for _, w, _ in rows], np.array([g for _, _, g in rows])
+
+
+@lru_cache(maxsize=1)
+def features() -> tuple[dict[str, int], np.ndarray]:
+    """Place of each n-gram that occurs often enough, and which of them each row has."""
+    _, _, rows, _ = examples()
+    own = [grams_of(words) for words in rows]
     counts: dict[str, int] = {}
-    for _, own in rows:
-        for g in grams_of(own):
+    for found in own:
+        for g in found:
             counts[g] = counts.get(g, 0) + 1
-    vocabulary = sorted(g for g, n in counts.items() if n >= COPIES // 3 and not re.fullmatch(r"w\d+", g.split()[0]) and not re.fullmatch(r"w\d+", g.split()[-1]))
-    at = {g: i for i, g in enumerate(vocabulary)}
-    x, y = np.zeros((len(rows), len(vocabulary))), np.zeros((len(rows), len(classes)))
-    for i, (c, own) in enumerate(rows):
-        x[i, [at[g] for g in grams_of(own) if g in at]] = 1
-        y[i, c] = 1
-    held = np.arange(len(rows)) % 5 == 4
-    share = 1 / y[~held].sum(axis=0)[y[~held].argmax(axis=1)]
+    at = {g: i for i, g in enumerate(sorted(g for g, n in counts.items() if n >= COPIES and not _is_noise(g)))}
+    x = np.zeros((len(own), len(at)), np.float32)
+    for i, found in enumerate(own):
+        x[i, [at[g] for g in found if g in at]] = 1
+    return at, x
+
+
+def fit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases from the marked rows; classes count alike."""
+    classes, labels, _, _ = examples()
+    x, labels = features()[1][rows], labels[rows]
+    y = np.eye(len(classes), dtype=np.float32)[labels]
+    share = 1 / np.maximum(y.sum(axis=0), 1)[labels]
     share *= len(share) / share.sum()
-    w, b = np.zeros((len(vocabulary), len(classes))), np.zeros(len(classes))
+    w, b = np.zeros((x.shape[1], len(classes)), np.float32), np.zeros(len(classes), np.float32)
     b[classes.index(UNKNOWN)] = 1.0
     for _ in range(STEPS):
-        z = x[~held] @ w + b
+        z = x @ w + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        error = (p - y[~held]) * share[:, None] / len(share)
-        w -= RATE * (x[~held].T @ error + RIDGE * w)
+        error = (p - y) * (share[:, None] / len(share)).astype(np.float32)
+        w -= RATE * (x.T @ error + RIDGE * w)
         b -= RATE * 0.1 * error.sum(axis=0)
+    return w, b
+
+
+@lru_cache(maxsize=1)
+def held_out() -> np.ndarray:
+    """Logits of each row by a model that met nothing of its group."""
+    classes, _, _, groups = examples()
+    x, out = features()[1], np.zeros((len(groups), len(classes)))
+    for k in range(FOLDS):
+        mine = groups % FOLDS == k
+        w, b = fit(~mine)
+        out[mine] = x[mine] @ w + b
+    return out
+
+
+def probabilities(z: np.ndarray, temperature: float) -> np.ndarray:
+    p = np.exp((z - z.max(axis=1, keepdims=True)) / temperature)
+    return p / p.sum(axis=1, keepdims=True)
+
+
+@lru_cache(maxsize=1)
+def model() -> tuple[list[str], dict[str, list[float]], list[float], float]:
+    """Classes, weights of each n-gram, biases, temperature."""
+    classes, labels, _, _ = examples()
+    z = held_out()
 
     def loss(t: float) -> float:
-        z = (x[held] @ w + b) / t
-        z -= z.max(axis=1, keepdims=True)
-        return -float((y[held] * (z - np.log(np.exp(z).sum(axis=1, keepdims=True)))).sum())
+        return -float(np.log(np.maximum(probabilities(z, t)[np.arange(len(labels)), labels], 1e-12)).mean())
 
     temperature = min(np.geomspace(0.2, 5, 60).tolist(), key=loss)
-    return classes, {g: np.round(w[i], 6).tolist() for g, i in at.items()}, np.round(b, 6).tolist(), float(temperature)
+    w, b = fit(np.ones(len(labels), bool))
+    return classes, {g: np.round(w[i].astype(float), 6).tolist() for g, i in features()[0].items()}, np.round(b.astype(float), 6).tolist(), float(temperature)
+
+
+def templates() -> list[tuple[str, list[str]]]:
+    """Family and bigrams of each notice and each name of two words or more."""
+    return [(c, own) for source in (NOTICES, NAMES) for c, texts in source.items() for t in texts if (own := _bigrams(words_of(t)))]
+
+
+def _bigrams(words: list[str]) -> list[str]:
+    return sorted(set(map(" ".join, zip(words, words[1:], strict=False))))
 
 
 def grams(words: Column) -> Column:
@@ -191,60 +285,66 @@ def _constant(spark, value, ddl: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(value)), f"array<struct<{ddl}>>")).alias("r")).select("r.*")
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph of every line that holds an anchor."""
-    hopeful = only(docs, "doc_id", "text").where(F.col("text").rlike(ANCHORS))
-    lines = hopeful.select("doc_id", F.explode(F.split("text", "\n")).alias("paragraph"))
-    return lines.where(F.col("paragraph").rlike(ANCHORS))
+def hopeful(text: Column) -> Column:
+    """Whether a text may hold an anchor, by plain substrings."""
+    low = F.lower(text)
+    tests = [F.contains(low, F.lit(s)) for s in STEMS] + [F.contains(text, F.lit(p)) for p in PROPER]
+    return reduce(Column.__or__, tests)
+
 
+def paragraphs(text: Column) -> Column:
+    """The paragraphs of a text that hold an anchor; null for texts that can't."""
+    joined = F.regexp_replace(F.regexp_replace(text, COMMENT, ""), WRAPPED, "$1 ")
+    return F.when(hopeful(text), F.filter(F.split(joined, "\n"), lambda p: p.rlike(ANCHORS)))
 
-def classify(distinct: DataFrame) -> DataFrame:
-    """distinct(paragraph) -> paragraph, family, probability, confirmed."""
-    spark = distinct.sparkSession
+
+def classify(found: DataFrame) -> DataFrame:
+    """found(rid, number, paragraph) -> rid, number, family, probability, confirmed of each row."""
+    spark = found.sparkSession
     classes, weights, biases, temperature = model()
     table = _constant(spark, [{"gram": g, "w": w} for g, w in weights.items()], "gram string, w array<double>")
-    own = distinct.withColumn("grams", grams(F.regexp_extract_all(F.lower("paragraph"), F.lit(WORD), 0)))
-    met = own.select("paragraph", F.explode_outer("grams").alias("gram")).join(F.broadcast(table), "gram", "left")
-    sums = met.groupBy("paragraph").agg(*[F.coalesce(F.sum(F.round(F.col("w")[i] * 1e6).cast("long")), F.lit(0)).alias(f"s{i}") for i in range(len(classes))])
+    words = found.select("rid", "number", F.regexp_extract_all(F.lower("paragraph"), F.lit(WORD), 0).alias("words"))
+    met = words.select("rid", "number", F.explode_outer(grams(F.col("words"))).alias("gram")).join(F.broadcast(table), "gram", "left")
+    sums = met.groupBy("rid", "number").agg(*[F.coalesce(F.sum(F.round(F.col("w")[i] * 1e6).cast("long")), F.lit(0)).alias(f"s{i}") for i in range(len(classes))])
     logit = [(F.col(f"s{i}") / 1e6 + b) / temperature for i, b in enumerate(biases)]
     top = F.greatest(*logit)
-    scored = sums.select("paragraph", F.array(*[F.exp(x - top) for x in logit]).alias("e"))
+    scored = sums.select("rid", "number", F.array(*[F.exp(x - top) for x in logit]).alias("e"))
     total = F.aggregate("e", F.lit(0.0), lambda a, b: a + b)
     told = F.array_max(F.arrays_zip((F.transform("e", lambda v: v / total)).alias("p"), F.array(*map(F.lit, classes)).alias("f")))
-    best = scored.select("paragraph", told.alias("t")).select("paragraph", F.col("t")["p"].alias("probability"), F.col("t")["f"].alias("predicted"))
-    family = F.when(F.col("probability") >= MIN_PROBABILITY, F.col("predicted")).otherwise(UNKNOWN)
-    return _confirmed(best.select("paragraph", family.alias("family"), F.round("probability", 6).alias("probability")))
+    best = scored.select("rid", "number", told.alias("t"))
+    family = F.when(F.col("t")["p"] >= MIN_PROBABILITY, F.col("t")["f"]).otherwise(UNKNOWN)
+    named = best.select("rid", "number", family.alias("family"), F.round(F.col("t")["p"], 6).alias("probability"))
+    return _confirmed(named, words)
 
 
-def _bigrams(words: list[str]) -> list[str]:
-    return sorted(set(map(" ".join, zip(words, words[1:], strict=False))))
+def _confirmed(named: DataFrame, words: DataFrame) -> DataFrame:
+    own_templates: dict[str, list[list[str]]] = {}
+    for family, own in templates():
+        own_templates.setdefault(family, []).append(own)
+    table = _constant(named.sparkSession, [{"family": c, "templates": t} for c, t in own_templates.items()], "family string, templates array<array<string>>")
+    n = F.greatest(F.size("words") - 1, F.lit(0))
+    own = F.array_distinct(F.zip_with(F.slice("words", 1, n), F.slice("words", 2, n), lambda a, b: F.concat_ws(" ", a, b)))
+    met = named.join(words.select("rid", "number", own.alias("own")), ["rid", "number"]).join(F.broadcast(table), "family", "left")
 
+    def agrees(template: Column) -> Column:
+        shared = F.size(F.array_intersect(F.col("own"), template))
+        return (shared >= F.least(F.lit(MIN_SHARED), F.size(template))) & (shared >= MIN_SHARE * F.least(F.size("own"), F.size(template)))
 
-def _confirmed(best: DataFrame) -> DataFrame:
-    templates = _constant(best.sparkSession, [{"family": c, "template": _bigrams(words_of(t))} for c, texts in NOTICES.items() for t in texts], "family string, template array<string>")
-    words = F.regexp_extract_all(F.lower("paragraph"), F.lit(WORD), 0)
-    n = F.greatest(F.size(words) - 1, F.lit(0))
-    own = F.array_distinct(F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b)))
-    met = best.withColumn("own", own).join(F.broadcast(templates), "family", "left")
-    shared = F.size(F.array_intersect("own", "template"))
-    agrees = F.coalesce((shared >= F.least(F.lit(MIN_SHARED), F.size("template"))) & (shared >= MIN_SHARE * F.least(F.size("own"), F.size("template"))), F.lit(False))
-    return met.groupBy("paragraph", "family", "probability").agg(F.bool_or(agrees).alias("confirmed"))
+    return met.select("rid", "number", "family", "probability", F.coalesce(F.exists("templates", agrees), F.lit(False)).alias("confirmed"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs (with an anchor), n_unknown, n_confirmed, families (confirmed, sorted, comma-joined), best, probability."""
-    found = paragraphs(docs)
-    judged = classify(found.select("paragraph").distinct())
-    met = found.join(judged, "paragraph")
+    """doc_id, n_paragraphs (with an anchor), n_unknown, n_confirmed, families (confirmed, sorted, comma-joined), best, probability of every row."""
+    rows = cut(only(docs, "doc_id", "text").select("doc_id", F.monotonically_increasing_id().alias("rid"), paragraphs(F.col("text")).alias("found")), "paragraphs")
+    met = classify(rows.select("rid", F.posexplode("found").alias("number", "paragraph")))
     named = F.col("family") != UNKNOWN
-    per = met.groupBy("doc_id").agg(
+    per = met.groupBy("rid").agg(
         F.count("*").alias("n_paragraphs"),
         F.count_if(~named).alias("n_unknown"),
         F.count_if("confirmed").alias("n_confirmed"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"),
         F.max(F.when(F.col("confirmed"), F.struct("probability", "family"))).alias("top"),
     )
-    ids = only(docs, "doc_id").distinct()
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    told = ids.alias("i").join(per.alias("p"), F.col("i.doc_id").eqNullSafe(F.col("p.doc_id")), "left")
-    return told.select(F.col("i.doc_id"), zero("n_paragraphs"), zero("n_unknown"), zero("n_confirmed"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce(F.col("top.family"), F.lit("none")).alias("best"), F.coalesce(F.col("top.probability"), F.lit(0.0)).alias("probability"))
+    told = rows.select("rid", "doc_id").join(per, "rid", "left")
+    return told.select("doc_id", zero("n_paragraphs"), zero("n_unknown"), zero("n_confirmed"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce(F.col("top.family"), F.lit("none")).alias("best"), F.coalesce(F.col("top.probability"), F.lit(0.0)).alias("probability"))
