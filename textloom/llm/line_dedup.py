@@ -268,11 +268,12 @@ def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
 
 def _residual_links(stars: DataFrame, measured: DataFrame, forms: DataFrame) -> DataFrame:
-    members = stars.join(measured, ["h", "lead"])
+    members = cut(stars.join(measured, ["h", "lead"]), "members")
     failed = F.when(F.col("j") < SIMILARITY, F.col("j"))
-    hopes = members.groupBy("key").agg((F.max(failed) + 1 - SIMILARITY + 1e-9).alias("reach"), F.count("*").alias("n")).where("reach is not null and n > 1").drop("n")
-    met = members.join(hopes, "key").where((F.col("j") < SIMILARITY) | (F.col("j") <= F.col("reach"))).select("key", "h", "j")
-    several = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # sums by bucket are tables before rows are joined with them, so that Spark can split the rows of a very full bucket
+    hopes = cut(members.groupBy("key").agg((F.max(failed) + 1 - SIMILARITY + 1e-9).alias("reach"), F.count("*").alias("n")).where("reach is not null and n > 1").drop("n"), "hopes")
+    met = cut(members.join(hopes, "key").where((F.col("j") < SIMILARITY) | (F.col("j") <= F.col("reach"))).select("key", "h", "j"), "met")
+    several = cut(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "several")
     told = met.join(several, "key").join(forms, "h").select("key", "h", "j", "form")
     return arrow_map(told.repartition("key").sortWithinPartitions("key"), _residue, "a long, b long")
 
