@@ -268,6 +268,23 @@ def test_warc_round_trip(spark, least):
     assert W.round_trip(pages.limit(0)).count() == 0
 
 
+def test_a_record_is_cut_before_it_is_shuffled(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 1_000_000), (2, "u", "x" * 1_000_000), (None, "u", "y" * 70_000)], "page_id long, url string, html string")
+    rows = W.chunks(pages, chunk=50_000).collect()
+    assert max(len(r["data"] or b"") for r in rows) == 50_000 and len(rows) == 3 + 20 + 20 + 2
+    plan = W.chunks(pages)._jdf.queryExecution().optimizedPlan().toString()
+    top = plan.split("\n")[:3]
+    assert "Sort" in top[0] and "Repartition" in top[1] and "Union" in top[2]  # the cut rows are what is dealt out
+
+
+def test_stores_that_archives_can_go_to():
+    from textloom.llm.common import store_of
+
+    assert store_of("file:///tmp/x")[1] == "/tmp/x"
+    with pytest.raises(Exception, match="scheme|nowhere"):
+        store_of("nowhere://host/x")
+
+
 def test_warc_payloads_come_back_in_chunks(spark, tmp_path, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     html = {r["page_id"]: (r["html"] or "").encode() for r in pages.collect()}

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import license_scan as L
@@ -59,6 +60,21 @@ def test_assign_edge_cases(spark, make_docs, tmp_path):
             pass
 
 
+@pytest.mark.parametrize("key", ["slot", "shard", "doc_id", "Shard"])
+def test_shards_of_keys_and_columns_of_any_name(spark, tmp_path, key):
+    names = list(dict.fromkeys([key, "_slot", "_shard", "salt", "slots"]))
+    df = spark.createDataFrame([(i, *[f"v{i}"] * (len(names) - 1)) for i in range(20)], ", ".join(f"`{n}` {'long' if n == key else 'string'}" for n in names))
+    wanted = {r[0]: r[1:] for r in S.assign(spark.range(20).withColumnRenamed("id", "k"), "k", ["a", "b", "c"]).collect()}
+    slot, shard = S.result_names(key)
+    out = S.with_shard(df, key, ["a", "b", "c"])
+    assert out.columns == [*names, slot, shard] and len({c.lower() for c in out.columns}) == len(names) + 2
+    for r in out.collect():
+        assert tuple(r)[len(names) :] == wanted[r[key]] and list(r)[1 : len(names)] == [f"v{r[key]}"] * (len(names) - 1)
+    assert {r[0]: r[1:] for r in S.assign(df, key, ["a", "b", "c"]).collect()} == wanted
+    S.write_shards(df, key, ["a", "b", "c"], str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+
+
 def test_quality_model_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -80,6 +96,70 @@ def test_training_never_sees_held_out_rows(spark, make_docs):
     assert len(M.training_rows(docs, labels, 7).collect()) == 7
 
 
+def plain_fit_and_score(rows, texts, epochs):
+    """The model without numpy's indexing: a dictionary of vectors, one feature at a time, in the order that `fit` draws."""
+    rng = np.random.default_rng(M.SEED)
+    vectors = rng.uniform(-1 / 4, 1 / 4, (M.BUCKETS, 4)).astype(np.float32)
+    share = np.float32(np.mean([y for y, _, _ in rows]))
+    out, constant = np.zeros((4, 2)), np.log([1 - share, share])
+    done = 0
+    for _ in range(epochs):
+        for i in rng.permutation(len(rows)):
+            label, buckets, weights = rows[i]
+            step = M.RATE * (1 - done / (epochs * len(rows)))
+            done += 1
+            mean = sum(w * vectors[b].astype(float) for b, w in zip(buckets, weights, strict=True))
+            z = [float(mean @ out[:, k] + constant[k]) for k in (0, 1)]
+            p = [np.exp(v) / sum(map(np.exp, z)) for v in z]
+            error = [p[k] - (k == label) for k in (0, 1)]
+            pull = out[:, 0] * error[0] + out[:, 1] * error[1]
+            for k in (0, 1):
+                out[:, k] -= step * mean * error[k]
+                constant[k] -= step * 0.1 * error[k]
+            for b, w in zip(buckets, weights, strict=True):
+                vectors[b] -= step * w * pull
+    scores = []
+    for text in texts:
+        buckets, weights = M.document(text.encode(), M.WordHashes())
+        mean = sum((w * vectors[b].astype(float) for b, w in zip(buckets, weights, strict=True)), np.zeros(4))
+        z = mean @ out + constant
+        scores.append(float(1 / (1 + np.exp(z[0] - z[1]))))
+    return scores
+
+
+def brute_features(text):
+    """Counts of words, pairs and character 3- to 5-grams, each by its own value and not by a bucket."""
+    words = text.split()
+    found = Counter(words) + Counter(zip(words, words[1:], strict=False))
+    for w in words:
+        for n in (3, 4, 5):
+            found.update(("gram", f" {w} "[i : i + n]) for i in range(len(w) + 3 - n))
+    return found
+
+
+def test_features_and_fit_equal_brute_force():
+    texts = ["good plain words of a tale", "bad *** junk ### bad", "plain words good", "junk junk *** x"] * 3
+    for t in [*texts, "", "é", "日本 語 ab", "one"]:
+        buckets, weights = M.document(t.encode(), M.WordHashes())
+        wanted = brute_features(t)
+        assert abs(sum(weights) * max(len(t.split()), 1) - sum(wanted.values())) < 1e-3 and len(buckets) <= len(wanted)
+    rows = [(1 - i % 2, *M.document(t.encode(), M.WordHashes())) for i, t in enumerate(texts)]
+    share, constant = M.fit(rows, 5, M.RATE, 4)
+    wanted = plain_fit_and_score(rows, texts, 5)
+    for t, w in zip(texts, wanted, strict=True):
+        buckets, weights = M.document(t.encode(), M.WordHashes())
+        assert abs(1 / (1 + np.exp(-(constant + float(weights @ share[buckets])))) - w) < 1e-3
+
+
+def test_rows_that_repeat_a_training_id_train_once(spark, make_docs):
+    rows = [(i, "good plain words" if i < 20 else "### bad *** junk") for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i < 20), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    many = make_docs(rows + [(0, f"another text {k}") for k in range(50)] + rows)
+    out = M.training_rows(many, labels).collect()
+    assert len(out) == len({r["doc_id"] for r in out}) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(40))
+    assert sorted(map(tuple, out)) == sorted(map(tuple, M.training_rows(many.repartition(3), labels).collect()))
+
+
 def test_quality_model_edge_cases(spark, make_docs):
     labels = spark.createDataFrame([(i, int(i < 20), 0) for i in range(40)], "doc_id long, quality int, toxic int")
     rows = [(i, "good plain words" if i < 20 else "### bad *** junk") for i in range(40)] + [(100, None), (101, ""), (100, None), (None, "good plain words"), (102, "w" * 100_000)]

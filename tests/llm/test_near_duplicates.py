@@ -41,7 +41,8 @@ def test_fingerprint_equals_brute_force(text):
     assert S.fingerprint((text or "").encode()) == brute_fingerprint(text)
 
 
-def test_trees_find_every_pair(monkeypatch):
+@pytest.mark.parametrize(("rows", "least"), [(4, 50), (40, 8), (10**6, 0)])
+def test_trees_find_every_pair(monkeypatch, rows, least):
     rng = np.random.default_rng(4)
     centres = rng.integers(0, 2**63, 150).astype(np.uint64) * np.uint64(2)
     near = [centres]
@@ -52,13 +53,13 @@ def test_trees_find_every_pair(monkeypatch):
         near.append(moved)
     tight = centres[0] ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
     fp = np.unique(np.concatenate([*near, tight])).view(np.int64)
-    monkeypatch.setattr(S, "SHARD_ROWS", 40)
+    monkeypatch.setattr(S, "SHARD_ROWS", rows)
     place, found = {int(x): i for i, x in enumerate(fp)}, Groups(len(fp))
-    for q, tree in enumerate(S.grow(fp[::3].copy(), len(fp))):
-        rows, leaf, owned = tree.route((fp.view(np.uint64) >> np.uint64(16 * q)).astype(np.uint16), 1)
-        assert owned.sum() == len(fp) and tree.leaves > 8
-        for n in range(tree.leaves):
-            for a, b in zip(*S.shard_links(fp[rows[leaf == n]], owned[leaf == n]), strict=True):
+    trees = S.grow(fp[::3].copy(), len(fp))
+    for row, shard, owned in S.places(fp, trees):
+        assert owned.sum() >= len(fp) and len(np.unique(shard)) > least
+        for n in np.unique(shard):
+            for a, b in zip(*S.shard_links(fp[row[shard == n]], owned[shard == n]), strict=True):
                 found.unite(place[int(a)], place[int(b)])
     wanted, bare = Groups(len(fp)), fp.view(np.uint64)
     for i in range(len(fp)):

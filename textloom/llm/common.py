@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from itertools import chain
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset on one machine, one of our own."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = f"file://{os.path.join(tempfile.gettempdir(), 'textloom-shared')}"
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -71,6 +74,18 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+#: schemes of Hadoop's connectors, by the name that pyarrow has for the same store
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
+
+
+def store_of(path: str):
+    """pyarrow's file system for a path, and the path within it; raises where pyarrow has none."""
+    from pyarrow import fs
+
+    scheme, mark, rest = path.partition("://")
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}{mark}{rest}")
+
+
 def cut_map(df: DataFrame, fn, schema: str, label: str) -> DataFrame:
     """df.mapInArrow as a table in the shared folder, its files written where the rows are made.
 
@@ -78,19 +93,17 @@ def cut_map(df: DataFrame, fn, schema: str, label: str) -> DataFrame:
     are read, so what lost executors and repeated tasks leave behind counts for nothing. The driver gets one name a
     task. Where pyarrow does not know the folder's store, Spark writes the table.
     """
-    from pyarrow import fs
-
     spark = df.sparkSession
     place = new_place(spark, label)
     try:
-        fs.FileSystem.from_uri(place)
+        store_of(place)
     except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
         return cut(arrow_map(df, fn, schema), label)
 
     def run(batches):
-        from pyarrow import fs, parquet
+        from pyarrow import parquet
 
-        store, folder = fs.FileSystem.from_uri(place)
+        store, folder = store_of(place)
         name, writer, held, weight = f"part-{uuid.uuid4().hex}.parquet", None, [], 0
         for out in chain(fn(batches), [None]):
             if out is not None:

@@ -11,7 +11,7 @@ of the doc_id as text, modulo 3, is not 1. Whole texts are hashed on the executo
 
 Defined cases: a null or empty text has the score of the prior; words of any length count whole; repeated rows get
 equal scores; a null doc_id is scored, is never trained on and not held out; a row with several labels trains once with
-the least of them; without both labels in the training rows every score is the share of label 1, or one half; an empty
+the least of them; of rows that repeat a doc_id the one of the least buckets and weights trains; without both labels in the training rows every score is the share of label 1, or one half; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -88,7 +88,7 @@ def held_out() -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, quality, buckets, weights of the rows to train on: at most `bound` ids, which every task gets."""
+    """doc_id, quality, buckets, weights of the rows to train on: at most `bound`, one for each id; every task gets the ids."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out())
     chosen = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("buckets", pa.binary()), ("weights", pa.binary())])
@@ -100,7 +100,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -
             yield batch(schema, b.column("doc_id"), b.column("quality"), [x.astype("<u2").tobytes() for x, _ in made], [w.astype("<f4").tobytes() for _, w in made])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    return arrow_map(joined, run, "doc_id long, quality int, buckets binary, weights binary")
+    rows = arrow_map(joined, run, "doc_id long, quality int, buckets binary, weights binary")
+    least = rows.groupBy("doc_id").agg(F.min(F.struct("quality", "buckets", "weights")).alias("row"))  # partial in each task
+    return least.select("doc_id", "row.*")
 
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, float]:
@@ -132,7 +134,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, ra
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
-    got = training_rows(docs, labels, bound).toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    got = training_rows(docs, labels, bound).toArrow().sort_by("doc_id")
     rows = [
         (y, np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(w, "<f4"))
         for y, b, w in zip(got["quality"].to_pylist(), got["buckets"].to_pylist(), got["weights"].to_pylist(), strict=True)

@@ -5,8 +5,8 @@ key's hash picks a slot and the slot names the shard. Adding or losing one shard
 share of the keys.
 
 Defined cases: a null key is placed like the empty string; equal keys share a shard whatever their type's rows repeat;
-an empty table gives an empty result; columns of the input named like the result are not carried along by `assign`
-and are replaced by `with_shard`.
+an empty table gives an empty result; columns of the input named slot or shard are replaced by `with_shard`, but for a key
+of that name, beside which the result is named slot_ or shard_; all other columns, whatever their names, stay.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import free_name
+
 TABLE_SIZE = 65537
 HASH_DIGITS = 13  # hex digits of an MD5 that make the key's hash: 52 bits, exact in every SQL engine's BIGINT
 
@@ -64,11 +66,16 @@ def slot_of(key: Column, size: int = TABLE_SIZE) -> Column:
     return F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(size)).cast("int")
 
 
-def _table_frame(spark, shards: list[str], size: int, weights: list[int] | None) -> DataFrame:
+def _table_frame(spark, shards: list[str], size: int, weights: list[int] | None, slot: str, shard: str) -> DataFrame:
     import pyarrow as pa
 
     slots = build_table(shards, size, weights)
-    return spark.createDataFrame(pa.table({"_slot": pa.array(range(size), pa.int32()), "_shard": pa.array(slots)}))
+    return spark.createDataFrame(pa.table({slot: pa.array(range(size), pa.int32()), shard: pa.array(slots)}))
+
+
+def result_names(key: str) -> tuple[str, str]:
+    """Names of the slot's and the shard's column."""
+    return free_name("slot", [key]), free_name("shard", [key])
 
 
 def with_shard(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE, weights: list[int] | None = None) -> DataFrame:
@@ -76,17 +83,24 @@ def with_shard(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZ
 
     The table has `size` rows of eight bytes whatever the data, so it is broadcast: placement is one hash lookup a row.
     """
-    slots = _table_frame(df.sparkSession, shards, size, weights)
-    keyed = df.drop("slot", "shard").withColumn("_slot", slot_of(F.col(f"`{key}`"), size))
-    return keyed.join(F.broadcast(slots), "_slot", "left").withColumnsRenamed({"_slot": "slot", "_shard": "shard"})
+    names = result_names(key)
+    kept = df.drop(*names)
+    slot, shard = free_name("slot", kept.columns), free_name("shard", kept.columns)
+    slots = _table_frame(df.sparkSession, shards, size, weights, slot, shard)
+    keyed = kept.withColumn(slot, slot_of(F.col(f"`{key}`"), size))
+    told = keyed.join(F.broadcast(slots), slot, "left")
+    return told.select(*[F.col(f"`{c}`") for c in kept.columns], F.col(slot).alias(names[0]), F.col(shard).alias(names[1]))
 
 
 def assign(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE) -> DataFrame:
     """key, slot, shard of every row."""
-    return with_shard(df.select(F.col(f"`{key}`")), key, shards, size).select(F.col(f"`{key}`"), "slot", "shard")
+    return with_shard(df.select(F.col(f"`{key}`")), key, shards, size)
 
 
 def write_shards(df: DataFrame, key: str, shards: list[str], path: str, files: int = 4, size: int = TABLE_SIZE) -> None:
     """Write df below path, a folder for each shard. A shard's rows are dealt over `files` tasks by a salt from the key, so that no task holds a whole shard."""
-    salted = with_shard(df, key, shards, size).withColumn("_salt", F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(files)))
-    salted.repartition("shard", "_salt").drop("_salt", "slot").write.partitionBy("shard").parquet(path)
+    slot, shard = result_names(key)
+    placed = with_shard(df, key, shards, size).drop(slot)
+    salt = free_name("salt", placed.columns)
+    salted = placed.withColumn(salt, F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(files)))
+    salted.repartition(shard, salt).drop(salt).write.partitionBy(shard).parquet(path)

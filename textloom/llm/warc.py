@@ -1,14 +1,16 @@
 """WARC archives written and read as streams of chunks.
 
-Payloads travel as rows (record, chunk number, bytes) of at most CHUNK bytes, cut by the JVM; writer and reader carry a
-SHA-1 from chunk to chunk, so neither holds a whole record. Of records of equal payload that with the least page_id is
+Payloads travel as rows (record, chunk number, bytes) of at most CHUNK bytes, cut by the JVM where the page is read and
+before anything is shuffled; the narrow row that says what becomes of a record travels ahead of its chunks. Writer and
+reader carry a SHA-1 from chunk to chunk, so neither holds a whole record. Of records of equal payload that with the least page_id is
 a response, the others revisit it. Archives are gzip files, a member for each record, in a folder that driver and
 executors share; a task writes under a name of its own, and only files named by tasks that finished are read, so lost
 executors and repeated tasks leave nothing that counts.
 
 Defined cases: a null payload is empty; payloads below `least_bytes` are responses whatever their copies; rows that
 repeat the least page_id of their payload are all responses; a null page_id sorts last; a null url is written as
-urn:page:<id>; an empty table makes no archive and an empty result; other columns are ignored.
+urn:page:<id>; an empty table makes no archive and an empty result; other columns are ignored. Archives go to any store
+that pyarrow knows (local, HDFS, S3, GCS, Azure); another scheme is refused before anything is written.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow_map, batch, cut, new_place
+from textloom.llm.common import arrow_map, batch, cut, new_place, store_of
 
 CHUNK = 256 * 1024
 ARCHIVE_BYTES = 256 * 1024 * 1024  # of payload, after which a task begins another archive
@@ -41,25 +43,31 @@ def record_id(page: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"
 
 
+def _data(payload: str):
+    return F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b""))
+
+
 def decisions(pages: DataFrame, payload: str = "html", least_bytes: int = 0) -> DataFrame:
     """page_id, sha1 (hex), bytes, refers_to: null for responses. Equal payloads meet as their digests alone."""
-    data = F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b""))
-    marked = pages.select("page_id", F.sha1(data).alias("sha1"), F.octet_length(data).cast("long").alias("bytes"))
+    marked = cut(pages.select("page_id", F.sha1(_data(payload)).alias("sha1"), F.octet_length(_data(payload)).cast("long").alias("bytes")), "digests")
     first = marked.where(F.col("bytes") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"))
     refers = F.when((F.col("bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return marked.join(first, "sha1", "left").select("page_id", "sha1", "bytes", refers.alias("refers_to"))
 
 
 def chunks(pages: DataFrame, payload: str = "html", least_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """The chunked record table: page_id, copy, url, sha1, bytes, refers_to, chunk, last, data; a record's rows stand together, in order."""
+    """The chunked record table: page_id, sha1, copy, chunk, last, url, bytes, refers_to, data; rows of one payload of a page stand together.
+
+    First comes its decision (copy and chunk are -1, data is null), then the chunks of each row of the table that has it, in order.
+    """
     made = decisions(pages, payload, least_bytes).distinct()
-    data = F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b""))
-    own = pages.select("page_id", "url", data.alias("data"), F.sha1(data).alias("sha1"))
-    told = own.alias("p").join(made.alias("m"), F.col("p.page_id").eqNullSafe(F.col("m.page_id")) & (F.col("p.sha1") == F.col("m.sha1")))
-    told = told.select("p.page_id", "p.url", "p.sha1", "m.bytes", "m.refers_to", F.when(F.col("m.refers_to").isNull(), F.col("p.data")).otherwise(F.lit(b"")).alias("data"))
+    heads = made.select("page_id", "sha1", F.lit(-1).cast("long").alias("copy"), F.lit(-1).alias("chunk"), F.lit(-1).alias("last"), F.lit(None).cast("string").alias("url"), "bytes", "refers_to", F.lit(None).cast("binary").alias("data"))
+    own = pages.select("page_id", "url", _data(payload).alias("data"), F.monotonically_increasing_id().alias("copy"))
     last = F.greatest(F.ceil(F.octet_length("data") / chunk) - 1, F.lit(0)).cast("int")
-    cut_up = told.withColumn("last", last).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    return cut_up.withColumn("data", F.expr(f"substring(data, chunk * {chunk} + 1, {chunk})"))
+    sized = own.select("page_id", "copy", "url", "data", F.sha1("data").alias("sha1"), F.octet_length("data").cast("long").alias("bytes"), last.alias("last"))
+    cut_up = sized.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    rows = cut_up.select("page_id", "sha1", "copy", "chunk", "last", "url", "bytes", F.lit(None).cast("long").alias("refers_to"), F.expr(f"substring(data, chunk * {chunk} + 1, {chunk})").alias("data"))
+    return heads.unionByName(rows).repartition("page_id", "sha1").sortWithinPartitions("page_id", "sha1", "copy", "chunk")
 
 
 def _head(kind: str, page, url, sha1: str, length: int, refers) -> bytes:
@@ -81,10 +89,7 @@ def _head(kind: str, page, url, sha1: str, length: int, refers) -> bytes:
 
 
 def open_stream(path: str, mode: str):
-    """A file of any store that pyarrow knows (file, hdfs, s3, gs, ...)."""
-    from pyarrow import fs
-
-    store, inner = fs.FileSystem.from_uri(path)
+    store, inner = store_of(path)
     if mode == "r":
         return store.open_input_stream(inner, compression=None)
     store.create_dir(inner.rpartition("/")[0], recursive=True)
@@ -121,22 +126,27 @@ class Writer:
 
 def write(pages: DataFrame, folder: str, payload: str = "html", least_bytes: int = 0, chunk: int = CHUNK, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write archives below folder; returns the manifest: path, records of each archive."""
+    store_of(folder)
     schema = pa.schema([("path", pa.string()), ("records", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, records = None, 0
+        writer, records, refers = None, 0, None
         for b in batches:
-            for page, url, sha1, size, refers, data, last, number in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "sha1", "bytes", "refers_to", "data", "last", "chunk")), strict=True):
-                if number == 0:
+            for page, url, sha1, size, told, data, last, number in zip(*(b.column(c) for c in ("page_id", "url", "sha1", "bytes", "refers_to", "data", "last", "chunk")), strict=True):
+                if (at := number.as_py()) < 0:
+                    refers = told.as_py()
+                    continue
+                if at == 0:
                     if writer and writer.written >= archive_bytes:
                         writer.close()
                         yield batch(schema, [writer.path], [records])
                         writer = None
                     if not writer:
                         writer, records = Writer(f"{folder}/part-{uuid.uuid4().hex}.warc.gz"), 0
-                    writer.begin(page, url, sha1, size, refers)
-                writer.chunk(data)
-                if number == last:
+                    writer.begin(page.as_py(), url.as_py(), sha1.as_py(), size.as_py(), refers)
+                if refers is None:
+                    writer.chunk(data.as_buffer())
+                if at == last.as_py():
                     writer.end()
                     records += 1
         if writer:
