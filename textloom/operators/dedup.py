@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 
 from textloom.functions import rules
 from textloom.functions import text as T
+from textloom.functions.names import free_name
+from textloom.operators.components import connected
 from textloom.sources.storage import checkpointed
 
 
-def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+def first_of(df: DataFrame, keys: list[Column | str], order: list[Column]) -> DataFrame:
     """The first row of each key; the window keeps one row a key before the shuffle already."""
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.where("_rank = 1").drop("_rank")
+    place = free_name("place", df.columns)
+    ranked = df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.where(F.col(place) == 1).drop(place)
 
 
 def by_url(pages: DataFrame) -> DataFrame:
@@ -24,23 +27,22 @@ def by_url(pages: DataFrame) -> DataFrame:
 
 def by_content(docs: DataFrame, content: str = "clean_content") -> DataFrame:
     """Of equal contents the document with the shortest url, the first where that ties."""
-    keyed = docs.withColumn("_hash", T.content_hash(F.col(content)))
-    return first_of(keyed, ["_hash"], [F.length("url"), F.col("url"), F.col("doc_id")]).drop("_hash")
+    return first_of(docs, [T.content_hash(F.col(content))], [F.length("url"), F.col("url"), F.col("doc_id")])
 
 
 def first_seen(sources: list[DataFrame], key: str, order: str) -> DataFrame:
     """Union of sources; of each key the row of the earliest source, in its order."""
-    rows = [s.withColumn("_source", F.lit(i)) for i, s in enumerate(sources)]
+    source = free_name("source", [c for s in sources for c in s.columns])
+    rows = [s.withColumn(source, F.lit(i)) for i, s in enumerate(sources)]
     union = rows[0]
     for r in rows[1:]:
         union = union.unionByName(r, allowMissingColumns=True)
-    return first_of(union, [key], [F.col("_source"), F.col(order)]).drop("_source")
+    return first_of(union, [key], [F.col(source), F.col(order)]).drop(source)
 
 
 def exact_chunks(chunks: DataFrame, content: str = "content", order: str = "chunk_id") -> DataFrame:
     """The first chunk of each content."""
-    keyed = chunks.withColumn("_hash", T.content_hash(T.trim(T.text_or_empty(F.col(content)))))
-    return first_of(keyed, ["_hash"], [F.col(order)]).drop("_hash")
+    return first_of(chunks, [T.content_hash(T.trim(T.text_or_empty(F.col(content))))], [F.col(order)])
 
 
 def prefix_of(content: Column) -> Column:
@@ -49,8 +51,8 @@ def prefix_of(content: Column) -> Column:
 
 def by_prefix(chunks: DataFrame, content: str = "content", tokens: str = "token_count", order: str = "chunk_id") -> DataFrame:
     """Of chunks that begin alike the one of most tokens; blank beginnings go."""
-    keyed = chunks.withColumn("_prefix", prefix_of(F.col(content))).where("_prefix <> ''")
-    return first_of(keyed, ["_prefix"], [F.col(tokens).desc(), F.col(order)]).drop("_prefix")
+    prefix = prefix_of(F.col(content))
+    return first_of(chunks.where(prefix != ""), [prefix], [F.col(tokens).desc(), F.col(order)])
 
 
 def ordered_distinct(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -70,29 +72,30 @@ def _accept(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[kept]
 
 
-def greedy(docs: DataFrame, order: str, rounds: int = 50) -> DataFrame:
+def greedy(docs: DataFrame, order: str) -> DataFrame:
     """docs(url, hash, order): what a walk in order accepts that refuses seen urls and seen hashes.
 
-    Only rows that share a url or a hash with another can be refused; the rest bypass the walk. Rows that hang together
-    by shared urls and hashes are found by passing the least order on until nothing moves, and each such group, small
-    in any crawl, is walked by itself.
+    Rows that can only be refused go first, by counts and minima: repeats of a pair of url and hash; of rows whose url
+    no other row has, all but the first of their hash, which that row uses up; likewise all but the first of their url
+    among rows whose hash stands alone. So a hash that a third of all pages share (an empty or boilerplate page) leaves
+    one row of those whose urls are their own. Rows that still share something hang together in groups, found by
+    distributed union-find, and each group is walked by itself; all others are accepted.
     """
-    rows = docs.select("url", "hash", order)
-    hashes = rows.groupBy("hash").agg(F.count("*").alias("_n"))
-    urls = rows.where("url <> ''").groupBy("url").agg(F.count("*").alias("_m"))
-    marked = rows.join(hashes, "hash").join(urls, "url", "left").withColumn("_shared", (F.col("_n") > 1) | (F.coalesce("_m", F.lit(0)) > 1))
-    alone, linked = (marked.where(c).select("url", "hash", order) for c in ("not _shared", "_shared"))
-    label = checkpointed(linked.withColumn("_group", F.col(order)))
-    for _ in range(rounds):
-        least_hash = label.groupBy("hash").agg(F.min("_group").alias("_h"))
-        least_url = label.where("url <> ''").groupBy("url").agg(F.min("_group").alias("_u"))
-        passed = label.join(least_hash, "hash").join(least_url, "url", "left").withColumn("_next", F.least("_h", F.coalesce("_u", "_h")))
-        passed = checkpointed(passed.select("url", "hash", order, "_group", "_next"))
-        moved = passed.where("_next <> _group").limit(1).count()
-        label = passed.select("url", "hash", order, F.col("_next").alias("_group"))
-        if not moved:
-            break
-    else:
-        raise RuntimeError(f"groups did not settle in {rounds} rounds")
+    rows = docs.select("url", "hash", order).groupBy("url", "hash").agg(F.min(order).alias(order))
+    hashes = rows.groupBy("hash").agg(F.count("*").alias("n_hash"))
+    urls = rows.where("url <> ''").groupBy("url").agg(F.count("*").alias("n_url"))
+    marked = rows.join(hashes, "hash").join(urls, "url", "left").select("url", "hash", order, (F.col("n_hash") == 1).alias("own_hash"), (F.coalesce("n_url", F.lit(1)) == 1).alias("own_url"))
+    marked = checkpointed(marked)
+    first = marked.groupBy("hash").agg(F.min(F.when(F.col("own_url"), F.col(order))).alias("first_of_hash"))
+    left = marked.join(first, "hash").where(~F.col("own_url") | (F.col(order) == F.col("first_of_hash")))
+    first = marked.where("url <> ''").groupBy("url").agg(F.min(F.when(F.col("own_hash"), F.col(order))).alias("first_of_url"))
+    left = left.join(first, "url", "left").where(~F.col("own_hash") | (F.col("url") == "") | (F.col(order) == F.col("first_of_url")))
+    left = checkpointed(left.select("url", "hash", order))
+    to_hash = left.groupBy("hash").agg(F.min(order).alias("b"))
+    to_url = left.where("url <> ''").groupBy("url").agg(F.min(order).alias("b"))
+    links = left.join(to_hash, "hash").select(F.col(order).alias("a"), "b").unionByName(left.join(to_url, "url").select(F.col(order).alias("a"), "b"))
+    found = connected(links)
+    grouped = left.join(found, left[order] == found["node"], "left").select("url", "hash", order, "root")
     walk = lambda pdf: _accept(pdf.sort_values(order))[["url", "hash", order]]
-    return alone.unionByName(label.groupBy("_group").applyInPandas(walk, rows.schema))
+    schema = left.schema
+    return grouped.where("root is null").select("url", "hash", order).unionByName(grouped.where("root is not null").groupBy("root").applyInPandas(walk, schema))

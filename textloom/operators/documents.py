@@ -72,8 +72,8 @@ def canonical(sources: DataFrame) -> DataFrame:
     html comes before markdown, that before JSON; the first of an id holds, and only then do short documents go.
     """
     rank = F.when(F.col("source_type") == "html", 0).when(F.col("source_type") == "md", 1).otherwise(2)
-    own = sources.withColumn("content", T.clean_text(F.col("content"))).withColumn("document_id", T.document_id(F.col("url"), F.col("stem"))).withColumn("_rank", rank)
-    first = dedup.first_of(own, ["document_id"], [F.col("_rank"), F.col("stem")]).drop("_rank")
+    own = sources.withColumn("content", T.clean_text(F.col("content"))).withColumn("document_id", T.document_id(F.col("url"), F.col("stem")))
+    first = dedup.first_of(own, ["document_id"], [rank, F.col("stem")])
     return quality.enough_words(first).select(
         "document_id", "source_type", T.first_filled(F.col("title"), default="").alias("title"), "url", "content",
         F.struct(

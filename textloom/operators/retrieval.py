@@ -7,12 +7,17 @@ distributed sum does not decide.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import rules
 from textloom.functions import text as T
 
+Keep = Callable[[DataFrame], DataFrame]
+
 # ---- index tables
 
 
@@ -70,14 +75,15 @@ def bm25_scores(queries: DataFrame, posts: DataFrame, stats: DataFrame, terms: D
     return hit.groupBy("query_id", key).agg(F.round(F.sum(part), 9).alias("score"))
 
 
-def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int = rules.CANDIDATES, key: str = "doc_id", content: str = "content", query: str = "query", index: dict[str, DataFrame] | None = None) -> DataFrame:
+def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int = rules.CANDIDATES, key: str = "doc_id", content: str = "content", query: str = "query", index: dict[str, DataFrame] | None = None, keep: Keep | None = None) -> DataFrame:
     """query_id, key, score, rank: the best k of each query, scores over zero.
 
     index: postings, doc_stats, term_stats and corpus_stats built before; without it they are made from docs.
+    keep: a filter of scored rows before the best are chosen.
     """
     index = index or build_index(docs, key, content)
     scored = bm25_scores(queries, index["postings"], index["doc_stats"], index["term_stats"], index["corpus_stats"], key, query)
-    return top_k(scored, k, [F.desc("score"), F.asc(key)]).where("score > 0")
+    return top_k(keep(scored) if keep else scored, k, [F.desc("score"), F.asc(key)]).where("score > 0")
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", content: str = "content") -> dict[str, DataFrame]:
@@ -97,19 +103,39 @@ def norm(a: Column) -> Column:
 
 def cosine_scores(queries: DataFrame, vectors: DataFrame, key: str = "doc_id") -> DataFrame:
     """query_id, key, score for each query vector and each vector: a stated set of queries, sent to every task if it is
-    small enough by Spark's own measure, against all rows, whose norms are computed once."""
-    q = queries.select("query_id", F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_qn"))
-    v = vectors.select(key, "embedding", norm(F.col("embedding")).alias("_vn"))
-    return v.join(q).select("query_id", key, F.round(dot(F.col("embedding"), F.col("_q")) / (F.col("_vn") * F.col("_qn")), 9).alias("score"))
+    small enough by Spark's own measure, against all rows, whose norms are computed once. A vector of zeros has no
+    direction and no score."""
+    q = queries.select("query_id", F.struct(F.col("embedding").alias("v"), norm(F.col("embedding")).alias("n")).alias("asked")).where("asked.n > 0")
+    v = vectors.select(F.col(key), F.struct(F.col("embedding").alias("v"), norm(F.col("embedding")).alias("n")).alias("held")).where("held.n > 0")
+    return v.join(q).select("query_id", key, F.round(dot(F.col("held.v"), F.col("asked.v")) / (F.col("held.n") * F.col("asked.n")), 9).alias("score"))
+
+
+def eligible(queries: DataFrame, rows: DataFrame, key: str, names: list[str]) -> Keep:
+    """A filter of scored(query_id, key, score) before the best are chosen: queries(query_id, filters) are maps of wanted
+    values, rows(key, ...) have the columns. A filter holds where its query states it and rows have its column."""
+    held = [n for n in names if n in rows.columns]
+    wanted = queries.select("query_id", F.struct(*[F.col("filters")[n].alias(n) for n in held]).alias("wanted")) if held else None
+
+    def keep(scored: DataFrame) -> DataFrame:
+        if wanted is None:
+            return scored
+        known = rows.select(key, F.struct(*held).alias("known"))
+        fits = [F.col("wanted")[n].isNull() | F.coalesce(F.col("wanted")[n] == F.col("known")[n], F.lit(False)) for n in held]
+        met = scored.join(wanted, "query_id").join(known, key)
+        return met.where(reduce(Column.__and__, fits)).drop("wanted", "known")
+
+    return keep
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = rules.CANDIDATES, key: str = "doc_id", filters: dict[str, str] | None = None, floor: float | None = None) -> DataFrame:
-    """query_id, key, score, rank by cosine. filters: equalities on columns that vectors have; floor: a least score."""
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = rules.CANDIDATES, key: str = "doc_id", filters: dict[str, str] | None = None, floor: float | None = None, keep: Keep | None = None) -> DataFrame:
+    """query_id, key, score, rank by cosine. filters: equalities on columns that vectors have; floor: a least score;
+    keep: a filter of scored rows."""
     for name, value in (filters or {}).items():
         if name in vectors.columns:
             vectors = vectors.where(F.col(name) == value)
     scored = cosine_scores(queries, vectors, key)
-    return top_k(scored if floor is None else scored.where(F.col("score") >= floor), k, [F.desc("score"), F.asc(key)])
+    scored = scored if floor is None else scored.where(F.col("score") >= floor)
+    return top_k(keep(scored) if keep else scored, k, [F.desc("score"), F.asc(key)])
 
 
 def candidate_count(top: int) -> int:

@@ -63,7 +63,8 @@ def rate_limited(requests: DataFrame, client: str = "client", ts: str = "ts", or
 
     Refused requests are not remembered, so a range frame would count too many. But only a client with more than
     `limit` requests within some window can be refused at all: those runs, cut where a pause of a window empties the
-    memory, are walked; everyone else is allowed by built-ins. No client's whole history meets in one task.
+    memory, are walked; everyone else is allowed by built-ins. Order is the semantics here, so a client's requests do
+    meet in one window, as narrow rows (client, time, order); a run is as long as its client never pauses.
     """
     own = requests if path is None else requests.where(~F.col(path).isin(rules.RATE_EXEMPT))
     w = Window.partitionBy(client).orderBy(ts, order)

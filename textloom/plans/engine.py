@@ -9,6 +9,7 @@ from textloom.functions import providers, rules
 from textloom.functions import text as T
 from textloom.operators import chunks as chunking
 from textloom.operators import documents, quality, query_analysis, retrieval, sessions
+from textloom.sources import sinks
 from textloom.sources.sinks import Table
 
 TOP_K_RANGE, PAGES_RANGE = (1, 20), (1, 2000)
@@ -20,19 +21,36 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, embedder: str = "hashed", generator: str = "extractive"):
         self.spark, self.root = spark, root.rstrip("/")
         self.embedder, self.generator = embedder, generator
-        keys = {"documents": "document_id", "chunks": "chunk_id", "vectors": "chunk_id", "postings": "chunk_id", "doc_stats": "chunk_id", "term_stats": "term", "corpus_stats": "n_docs", "cache": "key"}
+        keys = {"documents": "document_id", "parts": "chunk_id", "chunks": "chunk_id", "vectors": "chunk_id", "postings": "chunk_id", "doc_stats": "chunk_id", "term_stats": "term", "corpus_stats": "n_docs", "cache": "key"}
         self.tables = {name: Table(spark, f"{self.root}/{name}", key) for name, key in keys.items()}
 
     # ---- ingestion
 
     def ingest(self, pages: DataFrame, clear: bool = False, min_tokens: int = rules.GATE_TOKENS) -> dict:
-        """pages(file, stem, url, depth, crawled_at, frontmatter, body) -> documents, chunks and index tables. Pages of a
-        known document replace its chunks."""
+        """pages(file, stem, url, depth, crawled_at, frontmatter, body) -> documents, chunks and index tables.
+
+        A page replaces what its url had before. Only the pages' own documents are cut into chunks; the table of parts
+        holds all documents' chunks before the gate, which looks at the whole again, as a chunk's twin may have come or
+        gone. Uploaded chunks stay unless clear.
+        """
         docs = documents.preprocessed(pages)
-        self.tables["documents"].replace(docs) if clear else self.tables["documents"].upsert(docs)
-        docs = self.tables["documents"].read()
-        made = quality.clean_chunks(chunking.production(docs)).where(F.col("token_count") >= min_tokens)
-        self.tables["chunks"].replace(made)
+        known, parts, old = (None if clear else self.tables[n].read() for n in ("documents", "parts", "chunks"))
+        table = self.tables["documents"]
+        if known is None:
+            table.replace(docs)
+            made = chunking.production(table.read())
+        else:
+            named = docs.where("url <> ''").select("url").distinct()
+            kept = known.join(named, "url", "left_anti").select(known.columns)
+            table.replace(sinks.merged(kept, docs, "document_id"))
+            stay = sinks.without(kept, docs, "document_id").select("document_id")
+            made = parts.join(stay, "document_id", "left_semi").select(parts.columns).unionByName(chunking.production(sinks.without(table.read(), stay, "document_id")))
+        self.tables["parts"].replace(made)
+        gated = quality.clean_chunks(self.tables["parts"].read()).where(F.col("token_count") >= min_tokens)
+        if old is not None:
+            uploads = sinks.without(old, known, "document_id")
+            gated = gated.unionByName(uploads, allowMissingColumns=True)
+        self.tables["chunks"].replace(gated)
         return self.reindex()
 
     def append_document(self, files: DataFrame) -> dict:
@@ -79,11 +97,10 @@ class Engine:
         own = self.tables["chunks"].read()
         vectors = self.tables["vectors"].read()
         asked = queries.select("query_id", providers.embed(F.col(query), self.embedder).alias("embedding"))
-        dense = retrieval.dense_top_k(asked, vectors, k, "chunk_id")
-        sparse = retrieval.bm25_top_k(queries, own, k, "chunk_id", "content", query, self._index())
+        keep = retrieval.eligible(queries, own, "chunk_id", ["office"]) if filtered else None  # before the best are chosen
+        dense = retrieval.dense_top_k(asked, vectors, k, "chunk_id", keep=keep)
+        sparse = retrieval.bm25_top_k(queries, own, k, "chunk_id", "content", query, self._index(), keep)
         fused = retrieval.fuse(dense, sparse, "chunk_id").join(own.select("chunk_id", "document_id", "content", "title", "url", "section"), "chunk_id")
-        if filtered and "office" in own.columns:  # filters hold for columns that chunks have
-            fused = fused.join(queries.select("query_id", F.col("filters")["office"].alias("_office")), "query_id").where(F.col("_office").isNull() | (F.col("office") == F.col("_office"))).drop("_office")
         return retrieval.cap_per_url(fused, k)
 
     def search(self, queries: DataFrame, top_k: int = rules.TOP_K) -> DataFrame:

@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 from textloom.functions import rules
 from textloom.functions import text as T
+from textloom.functions.names import free_name
 
 
-def merged(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of both; of a key the new row holds. One shuffle on the key."""
-    both = old.withColumn("_age", F.lit(1)).unionByName(new.withColumn("_age", F.lit(0)), allowMissingColumns=True)
-    ranked = both.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy("_age")))
-    return ranked.where("_rank = 1").drop("_rank", "_age")
+def merged(old: DataFrame, new: DataFrame, key: str, order: Column | None = None) -> DataFrame:
+    """Rows of both; of a key the last new row holds. One shuffle on the key.
+
+    order: by what new rows of one key follow each other; where not given, the order in which Spark reads them.
+    """
+    age = free_name("age", [*old.columns, *new.columns])
+    place = free_name("place", [*old.columns, *new.columns])
+    number = F.monotonically_increasing_id() if order is None else order
+    later = new.withColumn(age, F.struct(F.lit(1).alias("new"), number.alias("number")))
+    both = old.withColumn(age, F.lit(None).cast(later.schema[age].dataType)).unionByName(later, allowMissingColumns=True)
+    ranked = both.withColumn(place, F.row_number().over(Window.partitionBy(F.col(f"`{key}`")).orderBy(F.desc_nulls_last(age))))
+    return ranked.where(F.col(place) == 1).drop(place, age)
 
 
 def without(old: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df from files in spark.checkpoint.dir; where that is unset, in a folder of our own."""
+    """df from files in spark.checkpoint.dir; where that is unset on one machine, in a folder of our own."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        place = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'textloom-shared')}"
+        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not place:
+            if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            place = f"file://{os.path.join(tempfile.gettempdir(), 'textloom-shared')}"
         context.setCheckpointDir(place)
     return df.checkpoint()
