@@ -219,7 +219,7 @@ def document_tree(text: str, title: str = "") -> Node:
             end = close + 1
         elif kind == "list":
             end = _run(lines, end, lambda x: line_kind(x) == "list" or x.startswith("  "))
-            items = [MARKER.sub("", x, count=1).strip() for x in lines[at:end]]
+            items = [x[m.end() :].strip() if (m := MARKER.match(x)) else x.strip() for x in lines[at:end]]
             path[-1].children.append(Node("list", text="\n".join(lines[at:end])))
             path[-1].children += [Node("paragraph", text=i) for i in items if i]
         elif line.lstrip().startswith(">"):

@@ -43,15 +43,15 @@ def history(turns: DataFrame, key: str = "session_id", order: str = "turn") -> D
     return own.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["l"]), "\n").alias("history"))
 
 
-def admit(times: list[float], limit: int = rules.RATE_LIMIT, window: int = rules.RATE_WINDOW, held: deque | None = None) -> list[tuple[bool, int]]:
-    """(allowed, retry_after) of requests at ascending times: a request is refused while `limit` allowed ones lie within the window; refused ones are not remembered."""
+def admit(times: list[float], limit: int = rules.RATE_LIMIT, window: int = rules.RATE_WINDOW, held: deque | None = None, unit: int = 1) -> list[tuple[bool, int]]:
+    """(allowed, retry_after in seconds of `unit`) of requests at ascending times: a request is refused while `limit` allowed ones lie within the window; refused ones are not remembered."""
     held = deque() if held is None else held
     out = []
     for now in times:
         while held and held[0] <= now - window:
             held.popleft()
         if len(held) >= limit:
-            out.append((False, int(held[0] + window - now) + 1))
+            out.append((False, int((held[0] + window - now) // unit) + 1))
         else:
             held.append(now)
             out.append((True, 0))
@@ -78,7 +78,7 @@ def rate_limited(requests: DataFrame, client: str = "client", ts: str = "ts", or
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([ts, order])
-        found = admit([t / 1e6 for t in pdf["_t"]], limit, window)
+        found = admit(pdf["_t"].tolist(), limit, window * 1_000_000, unit=1_000_000)
         return pdf.assign(allowed=[a for a, _ in found], retry_after=[r for _, r in found])[[client, order, "allowed", "retry_after"]]
 
     kind = dict(own.dtypes)

@@ -108,7 +108,14 @@ def postings(spark, sf):
     return retrieval.build_index(_docs(spark, sf))["postings"]
 
 
-@query(f"WITH {_BM25 % K} SELECT term, df, round(idf, 6) AS idf FROM t")
+_TERM_STATS = f"""WITH d AS (SELECT doc_id, {_TERMS % "text"} AS t FROM documents WHERE length({_STRIP % "coalesce(text, '')"}) > {rules.MIN_INDEXED_CHARS}),
+p AS (SELECT DISTINCT doc_id, unnest(t) AS term FROM d),
+r AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+w AS (SELECT term, df, ln((SELECT count(*) FROM d) - df + 0.5) - ln(df + 0.5) AS raw FROM r)
+SELECT term, df, round(CASE WHEN raw < 0 THEN {rules.BM25_EPSILON} * avg(raw) OVER () ELSE raw END, 6) AS idf FROM w"""
+
+
+@query(_TERM_STATS)
 def term_stats(spark, sf):
     return retrieval.build_index(_docs(spark, sf))["term_stats"].select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -197,7 +204,18 @@ def context_string(spark, sf):
     return told.select("query_id", F.md5("context").alias("digest"), F.size("sources").cast("long").alias("n_sources"))
 
 
-@query()
+_EXPANDED = f"""WITH RECURSIVE {(_BM25 % 5).replace("FROM documents", "FROM (SELECT conv_id || '-' || turn AS doc_id, text FROM conversations)")},
+near AS (SELECT conv_id || '-' || turn AS doc_id, lag(conv_id || '-' || turn) OVER o AS before, lead(conv_id || '-' || turn) OVER o AS after FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+step AS (SELECT query_id, 3 * (rank - 1) AS k, doc_id AS c, 'primary' AS role FROM sparse UNION ALL SELECT query_id, 3 * (rank - 1) + 1, before, 'previous' FROM sparse JOIN near USING (doc_id)
+UNION ALL SELECT query_id, 3 * (rank - 1) + 2, after, 'next' FROM sparse JOIN near USING (doc_id)),
+walked AS (SELECT query_id, k, [c] AS ids, ['primary'] AS roles, false AS skipped, 0 AS n FROM step WHERE k = 0
+UNION ALL SELECT query_id, k, CASE WHEN takes THEN list_append(ids, c) ELSE ids END, CASE WHEN takes THEN list_append(roles, role) ELSE roles END, CASE WHEN k % 3 = 0 THEN NOT takes ELSE skipped END, CASE WHEN k % 3 = 0 THEN 0 WHEN takes THEN n + 1 ELSE n END
+FROM (SELECT s.query_id, s.k, s.c, s.role, w.ids, w.roles, w.skipped, w.n, s.c IS NOT NULL AND NOT list_contains(w.ids, s.c) AND (s.k % 3 = 0 OR (NOT w.skipped AND w.n < {rules.MAX_EXTRA_CHUNKS})) AS takes FROM walked w JOIN step s ON s.query_id = w.query_id AND s.k = w.k + 1)),
+whole AS (SELECT query_id, ids, roles FROM walked QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k DESC) = 1)
+SELECT query_id, CAST(generate_subscripts(ids, 1) - 1 AS INTEGER) AS place, unnest(ids) AS chunk_id, unnest(roles) AS role FROM whole"""
+
+
+@query(_EXPANDED)
 def context_expansion(spark, sf):
     turns = _turns(spark, sf)
     asked = _asked(spark, sf)
@@ -304,7 +322,16 @@ def link_discovery(spark, sf):
     return found.groupBy("page_id").agg(F.count("*").alias("n_links"), F.md5(F.array_join(F.array_sort(F.collect_set("url")), " ")).alias("digest"))
 
 
-@query()
+def _glob(glob: str) -> str:
+    return f"regexp_full_match(url, '{readers.T.glob_pattern(glob)}')"
+
+
+_FRONTIER = rf"""WITH a AS (SELECT DISTINCT 'https://{rules.SITE}' || regexp_replace(h, '#.*$', '') AS url FROM (SELECT unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages) WHERE h LIKE '/%'),
+o AS (SELECT url, round(({" + ".join(f"contains(lower(url), '{w}')::INT" for w in rules.PRIORITY_WORDS)}) / {len(rules.PRIORITY_WORDS)} * {rules.PRIORITY_WEIGHT}, 9) AS score FROM a WHERE url NOT IN (SELECT url FROM pages) AND NOT ({" OR ".join(_glob(g) for g in rules.LOW_VALUE_URLS)}))
+SELECT url, 1 AS depth, score FROM o ORDER BY score DESC, url LIMIT {rules.MAX_PAGES}"""
+
+
+@query(_FRONTIER)
 def crawl_frontier(spark, sf):
     pages = table(spark, sf, "pages")
     links = readers.anchors(pages).select(F.regexp_replace("url", r"^https?://[^/]+", f"https://{rules.SITE}").alias("url")).withColumn("depth", F.lit(1))
@@ -364,7 +391,14 @@ def dedup_first_seen(spark, sf):
     return dedup.first_seen([d.where("lang = 'fr'"), d.where("lang = 'de'"), d], "source", "doc_id").select("source", "doc_id")
 
 
-@query()
+_GREEDY = """WITH RECURSIVE d AS (SELECT doc_id, concat_ws('/', source, lang, n_chars) AS url, sha256(text) AS hash, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
+w AS (SELECT n, doc_id, url, hash, true AS ok, [url] AS urls, [hash] AS hashes FROM d WHERE n = 1
+UNION ALL SELECT n, doc_id, url, hash, ok, CASE WHEN ok THEN list_append(urls, url) ELSE urls END, CASE WHEN ok THEN list_append(hashes, hash) ELSE hashes END
+FROM (SELECT d.*, w.urls, w.hashes, NOT list_contains(w.hashes, d.hash) AND NOT (d.url <> '' AND list_contains(w.urls, d.url)) AS ok FROM w JOIN d ON d.n = w.n + 1))
+SELECT url, hash, doc_id FROM w WHERE ok"""
+
+
+@query(_GREEDY)
 def dedup_greedy(spark, sf):
     d = table(spark, sf, "documents").select(F.concat_ws("/", "source", "lang", "n_chars").alias("url"), F.sha2("text", 256).alias("hash"), "doc_id")
     return dedup.greedy(d, "doc_id")
@@ -512,9 +546,22 @@ def session_windows(spark, sf):
     return sessions.session_windows(table(spark, sf, "events"), "user_id")
 
 
-@query()
+_RATE = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT user_id, event_id, n, [t] AS held, true AS allowed, 0 AS retry_after FROM e WHERE n = 1
+UNION ALL SELECT user_id, event_id, n, CASE WHEN len(h) < %d THEN list_append(h, t) ELSE h END, len(h) < %d, CASE WHEN len(h) < %d THEN 0 ELSE CAST((h[1] + %d - t) // 1000000 + 1 AS INTEGER) END
+FROM (SELECT e.*, list_filter(w.held, lambda x: x > e.t - %d) AS h FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+SELECT user_id, event_id, allowed, retry_after FROM w"""
+BUSY = 5, 6 * 3600  # requests and seconds at which the given events are refused now and then
+
+
+@query(_RATE % (BUSY[0], BUSY[0], BUSY[0], BUSY[1] * 1_000_000, BUSY[1] * 1_000_000))
 def rate_limit(spark, sf):
-    return sessions.rate_limited(table(spark, sf, "events"), "user_id", limit=5, window=6 * 3600)
+    return sessions.rate_limited(table(spark, sf, "events"), "user_id", limit=BUSY[0], window=BUSY[1])
+
+
+@query(_RATE % (rules.RATE_LIMIT, rules.RATE_LIMIT, rules.RATE_LIMIT, rules.RATE_WINDOW * 1_000_000, rules.RATE_WINDOW * 1_000_000))
+def rate_limit_as_served(spark, sf):
+    return sessions.rate_limited(table(spark, sf, "events"), "user_id")
 
 
 # ---- joins, merges, summaries
@@ -565,26 +612,98 @@ def language_counts(spark, sf):
     return documents.languages(d)
 
 
-# ---- parsers and chunkers: no SQL; held against walks in the tests
+# ---- parsers and chunkers. The SQL walks lines, sentences or windows by recursion, each step from the state before it.
 
 
 def _documents(spark, sf):
     return _docs(spark, sf).select(F.concat(F.lit("d"), "doc_id").alias("document_id"), "title", "url", F.col("lang").alias("language"), "content")
 
 
-@query()
+# The given documents are plain lines; parsers get them with marks set before and after, in turn, by line and document.
+MARKS = [
+    ("# ", ""), ("", ""), ("", ""), ("- ", ""), ("  more ", ""), ("", ""), ("| ", " | b |"), None, ("| c | ", " |"), ("1. ", ""), ("", ""), ("### ", ""), ("```", None), ("- code ", ""), ("```py", None),
+    ("", ""), ("---", None), ("* ", ""), ("|", "|"), ("#### ", ""), ("", None), ("> ", ""), ("##### ", ""), ("##", ""), ("i. ", ""), ("", ""), ("", None), ("## ", " ##"),
+]
+_RULE = "|---|:-:|"
+
+
+def _marked(spark, sf):
+    def mark(line, i):
+        turn = F.pmod(i + F.col("doc_id"), F.lit(len(MARKS)))
+        out = F.lit(None).cast("string")
+        for k, m in enumerate(MARKS):
+            text = F.lit(_RULE) if m is None else F.lit(m[0]) if m[1] is None else F.concat(F.lit(m[0]), line, F.lit(m[1]))
+            out = F.when(turn == k, text).otherwise(out)
+        return out
+
+    d = _docs(spark, sf).withColumn("content", F.array_join(F.transform(F.split("content", "\n"), mark), "\n"))
+    return d.select(F.concat(F.lit("d"), "doc_id").alias("document_id"), "title", "url", F.col("lang").alias("language"), "content")
+
+
+_MARK = "CASE (i - 1 + doc_id) % " + str(len(MARKS)) + " " + " ".join(f"WHEN {k} THEN " + (f"'{_RULE}'" if m is None else f"'{m[0]}'" if m[1] is None else f"'{m[0]}' || x || '{m[1]}'") for k, m in enumerate(MARKS)) + " END"
+_LINED = f"l AS (SELECT * FROM (SELECT 'd' || doc_id AS key, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {_MARK})) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS n, len(string_split(text, chr(10))) AS lines FROM documents) WHERE x <> '' OR n < lines)"
+_BLOCKS = rf"""WITH RECURSIVE {_LINED},
+k AS (SELECT *, CASE WHEN regexp_full_match(x, '```\w*') THEN 'code' WHEN regexp_full_match(x, '#{{1,6}}\s+.+') THEN 'heading' WHEN regexp_full_match(x, '[-*_]{{3,}}') THEN 'divider' WHEN regexp_full_match(x, '\s*\|.+\|\s*') THEN 'table'
+WHEN regexp_matches(x, '^\s*([-*+]|\d+[.)])\s+') THEN 'list' WHEN trim(x) <> '' THEN 'paragraph' ELSE 'blank' END AS kind FROM l),
+s AS (SELECT key, n, x, kind, kind AS block, 1 AS id, kind IN ('code', 'table', 'list', 'paragraph') AS open, false AS closes FROM k WHERE n = 1
+UNION ALL SELECT key, n, x, kind, CASE WHEN stays THEN block ELSE kind END, CASE WHEN stays THEN id ELSE id + 1 END, CASE WHEN stays THEN NOT shut ELSE kind IN ('code', 'table', 'list', 'paragraph') END, stays AND shut
+FROM (SELECT k.*, s.block, s.id, s.open AND s.block = 'code' AND k.kind = 'code' AS shut,
+s.open AND (s.block = 'code' OR (s.block = 'table' AND k.kind = 'table') OR (s.block = 'paragraph' AND k.kind = 'paragraph') OR (s.block = 'list' AND (starts_with(k.x, '  ') OR regexp_matches(k.x, '^\s*([-*+]|\d+[.)])\s+')))) AS stays
+FROM s JOIN k ON k.key = s.key AND k.n = s.n + 1)),
+b AS (SELECT key, id, first(block) AS type, min(n) AS n1, string_agg(x, chr(10) ORDER BY n) FILTER (NOT closes) AS body, count(*) FILTER (NOT closes) AS size, count(*) FILTER (kind = 'list') AS items,
+count(*) FILTER (NOT regexp_full_match(x, '\s*\|[\s|:\-]+\|\s*')) AS data, arg_min(x, n) AS x FROM s WHERE block <> 'blank' GROUP BY key, id)
+SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY n1) - 1 AS INTEGER) AS position, type, md5(CASE WHEN type = 'code' THEN body || CASE WHEN size = 1 THEN chr(10) ELSE '' END || chr(10) || '```' ELSE body END) AS digest,
+CASE WHEN type = 'heading' THEN length(regexp_extract(x, '^(#+)', 1)) ELSE 0 END AS level, CASE WHEN type = 'table' THEN greatest(data - 1, 0) ELSE 0 END AS n_rows, CASE WHEN type = 'list' THEN items ELSE 0 END AS n_items FROM b"""
+
+
+@query(_BLOCKS)
 def block_parse(spark, sf):
-    return chunks.blocks(_documents(spark, sf)).select("key", "position", "type", F.md5("text").alias("digest"), "level", F.size("rows").alias("n_rows"), F.size("items").alias("n_items"))
+    return chunks.blocks(_marked(spark, sf)).select("key", "position", "type", F.md5("text").alias("digest"), "level", F.size("rows").alias("n_rows"), F.size("items").alias("n_items"))
 
 
-@query()
-def heading_sections(spark, sf):
-    return chunks.sections(_documents(spark, sf))
+_SECTIONS = rf"""WITH {_LINED},
+k AS (SELECT *, CASE WHEN length(regexp_extract(trim(x), '^(#+)\s', 1)) BETWEEN 1 AND 4 THEN length(regexp_extract(trim(x), '^(#+)\s', 1)) END AS level, starts_with(trim(x), '|') AND ends_with(trim(x), '|') AS tab,
+regexp_matches(trim(x), '^([-*+]\s|\d+[.)]\s)') OR regexp_matches(lower(trim(x)), '^[ivxlcdm]+[.)]\s') AS item FROM l),
+c AS (SELECT key, n, x, CASE WHEN level IS NOT NULL THEN 'heading' WHEN tab THEN 'table' WHEN item THEN 'list' ELSE 'text' END AS kind, level FROM k),
+r AS (SELECT *, sum((kind = 'heading')::INT) OVER o AS part, sum((kind = 'table' AND coalesce(lag_kind, '') <> 'table')::INT) OVER o AS seg, sum((kind = 'list' AND coalesce(lag_kind, '') <> 'list')::INT) OVER o AS run
+FROM (SELECT *, lag(kind) OVER (PARTITION BY key ORDER BY n) AS lag_kind FROM c) WINDOW o AS (PARTITION BY key ORDER BY n)),
+piece AS (SELECT key, part, seg, CASE kind WHEN 'table' THEN 0 WHEN 'list' THEN 1 ELSE 2 END AS turn, CASE kind WHEN 'text' THEN 'paragraph' ELSE kind END AS kind, min(n) AS n1,
+CASE WHEN kind = 'text' THEN regexp_replace(string_agg(x, chr(10) ORDER BY n), '^\s+|\s+$', '', 'g') ELSE string_agg(x, chr(10) ORDER BY n) END AS body FROM r WHERE kind <> 'heading' GROUP BY key, part, seg, kind, CASE WHEN kind = 'list' THEN run END),
+whole AS (SELECT key, part, string_agg(kind, ',' ORDER BY seg, turn, n1) AS types, md5(string_agg(body, chr(31) ORDER BY seg, turn, n1)) AS digest FROM piece WHERE body <> '' GROUP BY key, part),
+h AS (SELECT key, part, level, regexp_replace(regexp_replace(x, '^#+\s+', ''), '^\s+|\s+$', '', 'g') AS name FROM r WHERE kind = 'heading'),
+chain AS (SELECT w.key, w.part, string_agg(a.name, ' > ' ORDER BY a.part) AS chain FROM (SELECT key, part FROM whole) w JOIN h a ON a.key = w.key AND a.part <= w.part
+WHERE NOT EXISTS (SELECT 1 FROM h z WHERE z.key = w.key AND z.part > a.part AND z.part <= w.part AND z.level <= a.level) GROUP BY w.key, w.part)
+SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY part) - 1 AS INTEGER) AS place, coalesce(chain, '') AS chain, types, digest FROM whole LEFT JOIN chain USING (key, part)"""
 
 
-@query()
+@query(_SECTIONS)
+def heading_sections(spark, sf):
+    found = chunks.sections(_marked(spark, sf))
+    return found.select("key", "place", F.array_join("heading_chain", " > ").alias("chain"), F.array_join("types", ",").alias("types"), F.md5(F.array_join("texts", "\x1f")).alias("digest"))
+
+
+_ITEM = r"^\s*([-*+]|\d+[.)])\s+"
+_TREE = rf"""WITH RECURSIVE {_LINED},
+k AS (SELECT key, n, x, CASE WHEN regexp_full_match(x, '```\w*') THEN 'code' WHEN regexp_full_match(x, '#{{1,6}}\s+.+') THEN 'heading' WHEN regexp_full_match(x, '[-*_]{{3,}}') THEN 'none'
+WHEN regexp_matches(x, '{_ITEM}') AND NOT regexp_full_match(x, '\s*\|.+\|\s*') THEN 'list' WHEN regexp_matches(x, '^\s*>') THEN 'quote' WHEN trim(x) <> '' THEN 'text' ELSE 'none' END AS kind FROM l),
+s AS (SELECT key, n, x, kind, kind AS block, 1 AS id, kind NOT IN ('heading', 'none') AS open, false AS closes FROM k WHERE n = 1
+UNION ALL SELECT key, n, x, kind, CASE WHEN stays THEN block ELSE kind END, CASE WHEN stays THEN id ELSE id + 1 END, CASE WHEN stays THEN NOT shut ELSE kind NOT IN ('heading', 'none') END, stays AND shut
+FROM (SELECT k.*, s.block, s.id, s.open AND s.block = 'code' AND k.kind = 'code' AS shut,
+s.open AND (s.block = 'code' OR (s.block IN ('text', 'quote') AND k.kind = s.block) OR (s.block = 'list' AND (k.kind = 'list' OR starts_with(k.x, '  ')))) AS stays FROM s JOIN k ON k.key = s.key AND k.n = s.n + 1)),
+b AS (SELECT key, id, min(n) AS n1, first(block) AS block, list(x ORDER BY n) FILTER (NOT closes) AS own FROM s WHERE block <> 'none' GROUP BY key, id),
+o AS (SELECT key, n1, 0 AS j, CASE block WHEN 'code' THEN 'code_block' WHEN 'quote' THEN 'blockquote' WHEN 'list' THEN 'list' ELSE 'paragraph' END AS type,
+array_to_string(CASE block WHEN 'code' THEN own[2:] WHEN 'quote' THEN list_transform(own, lambda x: regexp_replace(x, '^\s*>\s?', '')) ELSE own END, chr(10)) AS text FROM b WHERE block <> 'heading'
+UNION ALL SELECT key, n1, 1, 'paragraph', array_to_string(list_transform(own, lambda x: regexp_replace(x, '^\s*>\s?', '')), chr(10)) FROM b WHERE block = 'quote'
+UNION ALL SELECT key, n1, j, 'paragraph', x FROM (SELECT key, n1, unnest(own) AS raw, generate_subscripts(own, 1) AS j, regexp_replace(regexp_replace(raw, '^\s*[-*+\d.]+\s+', ''), '^\s+|\s+$', '', 'g') AS x FROM b WHERE block = 'list') WHERE x <> ''),
+h AS (SELECT key, n1, length(regexp_extract(own[1], '^(#+)', 1)) AS level, regexp_replace(regexp_replace(regexp_replace(own[1], '^#+\s+', ''), '\s+$', ''), '\s+#+$', '') AS name FROM b WHERE block = 'heading'),
+chain AS (SELECT p.key, p.n1, string_agg(a.name, ' > ' ORDER BY a.n1) AS chain FROM (SELECT DISTINCT key, n1 FROM o) p JOIN h a ON a.key = p.key AND a.n1 < p.n1
+WHERE NOT EXISTS (SELECT 1 FROM h z WHERE z.key = p.key AND z.n1 > a.n1 AND z.n1 < p.n1 AND z.level <= a.level) GROUP BY p.key, p.n1)
+SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY n1, j) - 1 AS INTEGER) AS place, coalesce(chain, '') AS chain, type, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM o LEFT JOIN chain USING (key, n1)"""
+
+
+@query(_TREE)
 def document_tree(spark, sf):
-    return chunks.tree(_documents(spark, sf))
+    return chunks.tree(_marked(spark, sf)).select("key", "place", F.array_join("heading_chain", " > ").alias("chain"), "type", "text")
 
 
 @query()
@@ -607,18 +726,57 @@ def semantic_chunks(spark, sf):
     return chunks.semantic(_documents(spark, sf))
 
 
-@query()
+def _last(mark: str) -> str:
+    """Place from 0 of the last `mark` in win, or null."""
+    return f"CASE WHEN strpos(reverse(win), '{mark[::-1]}') > 0 THEN length(win) - strpos(reverse(win), '{mark[::-1]}') - {len(mark) - 1} END".replace("\n", "' || chr(10) || '")
+
+
+_HALF = rules.FIXED_CHARS // 2
+_SHORT = rf"{_STRIP % 'x'}"
+_FIXED = rf"""WITH RECURSIVE d AS (SELECT * FROM (SELECT 'd' || doc_id AS key, {_STRIP % f"regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: length({_SHORT}) >= 3 OR {_SHORT} = ''), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')"} AS t FROM documents) WHERE length(t) >= {rules.FIXED_LEAST_CHARS}),
+w AS (SELECT key, 0 AS start, 0 AS stop, '' AS piece, 0 AS k FROM d
+UNION ALL SELECT key, CASE WHEN stop - {rules.FIXED_OVERLAP} > start THEN stop - {rules.FIXED_OVERLAP} ELSE stop END, stop, substr(t, start + 1, stop - start), k + 1 FROM
+(SELECT *, start + CASE WHEN start + {rules.FIXED_CHARS} >= length(t) THEN length(t) - start WHEN p0 > 0 THEN p0 + 2 WHEN p1 > {_HALF} THEN p1 + 2 WHEN p2 > {_HALF} THEN p2 + 2 WHEN p3 > {_HALF} THEN p3 + 2 WHEN p4 > {_HALF} THEN p4 + 1 WHEN p5 > 0 THEN p5 ELSE {rules.FIXED_CHARS} END AS stop
+FROM (SELECT *, {", ".join(f"{_last(m)} AS p{i}" for i, m in enumerate([chr(10) * 2, ". ", "! ", "? ", chr(10), " "]))} FROM
+(SELECT w.key, w.start, w.k, d.t, substr(d.t, w.start + 1, {rules.FIXED_CHARS}) AS win FROM w JOIN d USING (key) WHERE w.start < length(d.t))))),
+p AS (SELECT key, k, {_STRIP % "piece"} AS text FROM w WHERE k > 0),
+n AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY key) AS total, text FROM p WHERE text <> '')
+SELECT key, CAST(i AS INTEGER) AS chunk_index, CAST(total AS INTEGER) AS total_chunks, text, md5(key || '::' || i) AS chunk_id, length(text) AS char_count FROM n"""
+
+
+@query(_FIXED)
 def fixed_chunks(spark, sf):
     return chunks.fixed(_documents(spark, sf), "document_id")
 
 
-@query()
+_SENTENCES = rf"list_filter(list_transform(string_split(regexp_replace(regexp_replace(%s, '([.!?।])\s+', '\1' || chr(1), 'g'), '\n\n+', chr(1), 'g'), chr(1)), lambda x: {_SHORT}), lambda x: x <> '')"
+_COUNT = "CAST(floor(len(list_filter(string_split_regex(%s, '\\s+'), lambda y: y <> '')) * 1.3 + 1e-9) AS INTEGER)"
+_RUN = -(-rules.SPLIT_TARGET * 10 // int(rules.TOKENS_PER_WORD * 10))  # words of a run
+_OVERLAP = rf"""WITH RECURSIVE c AS (SELECT doc_id::VARCHAR AS key, text, source, greatest(1, length(text) // 4) AS tok FROM documents),
+t AS (SELECT key, {_SENTENCES % (_STRIP % "text")} AS parts FROM c WHERE tok > {rules.SPLIT_MAX}),
+q AS (SELECT key, unnest(parts) AS x, generate_subscripts(parts, 1) AS a FROM t),
+v AS (SELECT key, a, 0 AS b, x, {_COUNT % "x"} AS counted FROM q WHERE {_COUNT % "x"} <= {rules.SPLIT_TARGET}
+UNION ALL SELECT key, a, b, array_to_string(list_filter(string_split_regex(x, '\s+'), lambda y: y <> '')[b + 1:b + {_RUN}], ' '), 0 FROM (SELECT *, unnest(range(0, len(list_filter(string_split_regex(x, '\s+'), lambda y: y <> '')), {_RUN})) AS b FROM q WHERE {_COUNT % "x"} > {rules.SPLIT_TARGET})),
+u AS (SELECT key, row_number() OVER o - 1 AS i, x, counted, coalesce(sum({_COUNT % "x"}) OVER (PARTITION BY key ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sums FROM v WINDOW o AS (PARTITION BY key ORDER BY a, b)),
+f AS (SELECT u.key, u.i, min(z.i) AS back FROM u JOIN u z ON z.key = u.key AND z.i <= u.i AND u.sums - z.sums <= {rules.SPLIT_OVERLAP} GROUP BY u.key, u.i),
+g AS (SELECT u.*, f.back FROM u JOIN f USING (key, i)),
+w AS (SELECT key, i, 0::BIGINT AS first, counted::HUGEINT AS filled, NULL::BIGINT AS done FROM g WHERE i = 0
+UNION ALL SELECT key, i, CASE WHEN over THEN greatest(first, back) ELSE first END, CASE WHEN over THEN sums - (SELECT z.sums FROM g z WHERE z.key = y.key AND z.i = greatest(y.first, y.back)) ELSE filled END + counted, CASE WHEN over THEN first END
+FROM (SELECT g.key, g.i, g.counted, g.sums, g.back, w.first, w.filled, g.counted > 0 AND w.filled + g.counted > {rules.SPLIT_TARGET} AS over FROM w JOIN g ON g.key = w.key AND g.i = w.i + 1) y),
+e AS (SELECT key, done AS a, i AS z FROM w WHERE done IS NOT NULL UNION ALL (SELECT key, first, i + 1 FROM w QUALIFY row_number() OVER (PARTITION BY key ORDER BY i DESC) = 1)),
+p AS (SELECT e.key, e.z, string_agg(u.x, ' ' ORDER BY u.i) AS content FROM e JOIN u ON u.key = e.key AND u.i >= e.a AND u.i < e.z GROUP BY e.key, e.z),
+m AS (SELECT key, content, row_number() OVER (PARTITION BY key ORDER BY z) - 1 AS k, count(*) OVER (PARTITION BY key) AS total FROM p)
+SELECT key AS chunk_id, text AS content, source AS title, tok AS token_count, contains(text, '|') AS has_table, contains(text, '!') AS has_list FROM c WHERE tok <= {rules.SPLIT_MAX}
+UNION ALL SELECT key || '_part_' || k, content, CASE WHEN total > 1 THEN source || ' (Part ' || (k + 1) || '/' || total || ')' ELSE source END, {_COUNT % "content"}, contains(text, '|'), contains(text, '!') FROM m JOIN c USING (key)"""
+
+
+@query(_OVERLAP)
 def overlap_split(spark, sf):
     d = _gated(spark, sf).withColumn("chunk_id", F.col("chunk_id").cast("string"))
     return chunks.split_large(d)
 
 
-@query()
+@query(f"SELECT doc_id, unnest(s) AS sentence, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS place FROM (SELECT doc_id, {_SENTENCES % 'text'} AS s FROM documents)")
 def sentence_split(spark, sf):
     return _docs(spark, sf).select("doc_id", F.posexplode(T.sentences(F.col("content"))).alias("place", "sentence"))
 
