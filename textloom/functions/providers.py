@@ -85,3 +85,21 @@ def pair_score(query: Column, text: Column, name: str) -> Column:
         return pa.array(make()([q or "" for q in queries.to_pylist()], [t or "" for t in texts.to_pylist()]), pa.float64())
 
     return run(query, text)
+
+
+_tokenizers: dict[str, object] = {}  # of this worker process
+
+
+def bpe_tokens(vocabulary: str) -> Callable[[str], int]:
+    """A token counter by a byte-pair vocabulary of the `tokenizers` format: blank texts have none. Workers load it once."""
+
+    def count(text: str) -> int:
+        if not text.strip():
+            return 0
+        if vocabulary not in _tokenizers:
+            from tokenizers import Tokenizer
+
+            _tokenizers[vocabulary] = Tokenizer.from_file(vocabulary)
+        return len(_tokenizers[vocabulary].encode(text, add_special_tokens=False).ids)
+
+    return count

@@ -95,7 +95,7 @@ LOW_VALUE_URLS = [
     "*.css", "*.js", "*.png", "*.jpg", "*.jpeg", "*.gif", "*.svg",
     "*.webp", "*.ico", "*.woff", "*.woff2", "*.ttf", "*.xml", "*.json", "*.zip",
 ]
-MAX_DEPTH, MAX_PAGES = 4, 400
+MAX_DEPTH, MAX_PAGES, MOST_PAGES = 4, 400, 2000
 
 # ---- classification: (category, pattern), first match wins, case ignored
 URL_CATEGORIES = [

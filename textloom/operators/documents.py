@@ -100,6 +100,16 @@ def summary(docs: DataFrame, chunks: DataFrame, key: str = "document_id") -> Dat
     return docs.agg(F.count("*").alias("documents")).join(made).withColumn("chunks_per_document", F.round(F.col("chunks") / F.greatest("documents", F.lit(1)), 1))
 
 
+def document_index(docs: DataFrame) -> DataFrame:
+    """What an index of canonical documents holds: their ids, urls, titles, types and word counts."""
+    return docs.select(*[c for c in ("document_id", "url", "title", "source_type", "file", "word_count") if c in docs.columns])
+
+
+def chunk_index(chunks: DataFrame) -> DataFrame:
+    """What an index of word-budget chunks holds."""
+    return chunks.select("chunk_id", "document_id", "heading", "title", "url", "word_count")
+
+
 def languages(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("language").agg(F.count("*").alias("n"), F.count_if("has_table").alias("with_tables"))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import rules
 from textloom.functions import text as T
+from textloom.functions.names import free_name
 from textloom.operators import dedup
 
 
@@ -50,16 +51,15 @@ def judged_chunks(chunks: DataFrame) -> DataFrame:
     Reasons come in that order and only chunks that passed the earlier ones count for the later.
     """
     own = chunks.withColumn("reason", refusal(F.col("content"), F.col("title"), F.col("token_count"), F.col("has_table"), F.col("has_list")))
-    passed = own.where("reason is null")
-    unique = dedup.exact_chunks(passed)
-    kept = dedup.by_prefix(unique)
-    verdict = (
-        passed.select("chunk_id", T.content_hash(T.trim(F.col("content"))).alias("_hash"), dedup.prefix_of(F.col("content")).alias("_prefix"))
-        .join(unique.select("chunk_id", F.lit(True).alias("_unique")), "chunk_id", "left")
-        .join(kept.select("chunk_id", F.lit(True).alias("_kept")), "chunk_id", "left")
-        .select("chunk_id", F.when(F.col("_unique").isNull(), "exact_dupes").when(F.col("_kept"), None).when(F.col("_prefix") == "", "blank").otherwise("near_dupes").alias("_late"))
-    )
-    return own.join(verdict, "chunk_id", "left").withColumn("reason", F.coalesce("reason", "_late")).drop("_late")
+    content = T.trim(T.text_or_empty(F.col("content")))
+    passed = own.where("reason is null").select("chunk_id", "token_count", T.content_hash(content).alias("hash"), dedup.prefix_of(F.col("content")).alias("prefix"))
+    twin = passed.withColumn("twin", F.row_number().over(Window.partitionBy("hash").orderBy("chunk_id")) > 1)
+    near = F.row_number().over(Window.partitionBy("twin", "prefix").orderBy(F.desc("token_count"), "chunk_id")) > 1
+    late = F.when(F.col("twin"), "exact_dupes").when(F.col("prefix") == "", "blank").when(near, "near_dupes")
+    verdict = twin.select("chunk_id", late.alias("late")).where("late is not null")
+    mark = free_name("late", chunks.columns)
+    met = own.join(verdict.withColumnRenamed("late", mark), "chunk_id", "left")
+    return met.withColumn("reason", F.coalesce("reason", mark)).drop(mark)
 
 
 def clean_chunks(chunks: DataFrame) -> DataFrame:
@@ -78,5 +78,14 @@ def embeddable(chunks: DataFrame, least: int = rules.GATE_TOKENS) -> DataFrame:
     return ready.where((T.trim(F.col("embedding_text")) != "") & (F.length("embedding_text") >= rules.EMBED_LEAST_CHARS))
 
 
+def embedding_counts(chunks: DataFrame, least: int = rules.GATE_TOKENS) -> DataFrame:
+    """One row of an embedding run: total, below_tokens, too_short (blank or under the least characters), submitted."""
+    text = T.embedding_text(F.col("heading_chain"), F.col("title"), F.col("content"))
+    small = F.coalesce(F.col("token_count") < max(least, rules.GATE_TOKENS), F.lit(True))
+    bare = (T.trim(text) == "") | (F.length(text) < rules.EMBED_LEAST_CHARS)
+    marked = chunks.select(small.alias("small"), F.coalesce(bare, F.lit(True)).alias("bare"))
+    return marked.agg(F.count("*").alias("total"), F.count_if("small").alias("below_tokens"), F.count_if(F.expr("bare and not small")).alias("too_short"), F.count_if(F.expr("not bare and not small")).alias("submitted"))
+
+
 def needs_ocr(text: Column, pages: Column) -> Column:
     return (T.trim(T.text_or_empty(text)) == "") | (T.word_count(text) / F.greatest(pages, F.lit(1)) < rules.OCR_WORDS_PER_PAGE)

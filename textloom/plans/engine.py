@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import providers, rules
 from textloom.functions import text as T
+from textloom.functions.chunking import estimate_or_none
 from textloom.operators import chunks as chunking
 from textloom.operators import documents, quality, query_analysis, retrieval, sessions
 from textloom.sources import sinks
@@ -18,7 +19,9 @@ PROMPT_GENERAL = "Answer the general question briefly.\n\nQUESTION: %s"
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, embedder: str = "hashed", generator: str = "extractive"):
+    def __init__(self, spark: SparkSession, root: str, embedder: str = "hashed", generator: str = "extractive", vocabulary: str | None = None):
+        """vocabulary: a byte-pair vocabulary file by which chunks' budgets count tokens; without it they are estimated by length."""
+        self.tokens = providers.bpe_tokens(vocabulary) if vocabulary else estimate_or_none
         self.spark, self.root = spark, root.rstrip("/")
         self.embedder, self.generator = embedder, generator
         keys = {"documents": "document_id", "parts": "chunk_id", "chunks": "chunk_id", "vectors": "chunk_id", "postings": "chunk_id", "doc_stats": "chunk_id", "term_stats": "term", "corpus_stats": "n_docs", "cache": "key"}
@@ -38,13 +41,13 @@ class Engine:
         table = self.tables["documents"]
         if known is None:
             table.replace(docs)
-            made = chunking.production(table.read())
+            made = chunking.production(table.read(), tokens=self.tokens)
         else:
             named = docs.where("url <> ''").select("url").distinct()
             kept = known.join(named, "url", "left_anti").select(known.columns)
             table.replace(sinks.merged(kept, docs, "document_id"))
             stay = sinks.without(kept, docs, "document_id").select("document_id")
-            made = parts.join(stay, "document_id", "left_semi").select(parts.columns).unionByName(chunking.production(sinks.without(table.read(), stay, "document_id")))
+            made = parts.join(stay, "document_id", "left_semi").select(parts.columns).unionByName(chunking.production(sinks.without(table.read(), stay, "document_id"), tokens=self.tokens))
         self.tables["parts"].replace(made)
         gated = quality.clean_chunks(self.tables["parts"].read()).where(F.col("token_count") >= min_tokens)
         if old is not None:
@@ -79,6 +82,7 @@ class Engine:
         text = quality.embeddable(own, 0).select("chunk_id", "embedding_text", "language", F.sha2("embedding_text", 256).alias("text_hash")) if "heading_chain" in own.columns else own
         old = self.tables["vectors"].read()
         fresh = text if old is None else text.join(old.select("chunk_id", "text_hash"), ["chunk_id", "text_hash"], "left_anti")
+        self.last_embedding = quality.embedding_counts(own, 0) if "heading_chain" in own.columns else None
         made = fresh.select("chunk_id", "language", "text_hash", providers.embed(F.col("embedding_text"), self.embedder).alias("embedding"))
         if old is None:
             self.tables["vectors"].replace(made)

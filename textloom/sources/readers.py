@@ -5,15 +5,16 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.functions import rules
+from textloom.functions import pdf, rules
 from textloom.functions import text as T
+from textloom.functions.names import free_name
 
 MANIFEST = "url string, file string, depth int, score double, char_count int, document_urls array<string>, crawled_at string"
 ENVELOPE = "metadata map<string,string>, content string"
@@ -72,8 +73,9 @@ def manifest(spark: SparkSession, path: str, key: str = "url", schema: str = MAN
 
 
 def last_by(rows: DataFrame, key: str, order: str) -> DataFrame:
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))))
-    return ranked.where("_rank = 1").drop("_rank", order)
+    place = free_name("place", rows.columns)
+    ranked = rows.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))))
+    return ranked.where(F.col(place) == 1).drop(place, order)
 
 
 def failed_urls(spark: SparkSession, path: str) -> DataFrame:
@@ -166,10 +168,19 @@ def sheet_text(sheets: list[tuple[str, list[list[str]]]]) -> str:
     return "\n".join(lines).strip()
 
 
-PdfReader = None  # set to a function bytes -> list of page texts where a PDF library is at hand
+Pages = Callable[[bytes], list[str]]
 
 
-def extract_text(name: str, data: bytes) -> str:
+def pdf_text(data: bytes, pages: Pages = pdf.pages, ocr: Pages | None = None) -> str:
+    """Text of a PDF's pages; by ocr, where given, if the pages have too few words to have been written as text."""
+    own = pages(data)
+    words = sum(len((p or "").split()) for p in own)
+    if ocr and (not words or words / max(len(own), 1) < rules.OCR_WORDS_PER_PAGE):
+        own = ocr(data)
+    return "\n\n".join(p or "" for p in own).strip()
+
+
+def extract_text(name: str, data: bytes, pdf_pages: Pages = pdf.pages, ocr: Pages | None = None) -> str:
     kind = name.lower().rsplit(".", 1)[-1]
     if kind == "docx":
         return "\n".join(docx_paragraphs(data)).strip()
@@ -177,13 +188,13 @@ def extract_text(name: str, data: bytes) -> str:
         return sheet_text(xlsx_sheets(data))
     if kind in ("csv", "txt"):
         return data.decode("utf-8", "ignore").strip()
-    if kind == "pdf" and PdfReader:
-        return "\n\n".join(p or "" for p in PdfReader(data)).strip()
+    if kind == "pdf":
+        return pdf_text(data, pdf_pages, ocr)
     raise ValueError(f"no reader for .{kind}")
 
 
-def office_texts(spark: SparkSession, path: str) -> DataFrame:
-    """path, stem, text, error of every file; one that can't be read has its error and no text."""
+def office_texts(spark: SparkSession, path: str, pdf_pages: Pages = pdf.pages, ocr: Pages | None = None) -> DataFrame:
+    """path, stem, text, error of every file; one that can't be read has its error and no text. The functions travel to the tasks."""
     schema = pa.schema([("path", pa.string()), ("text", pa.string()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +202,7 @@ def office_texts(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for name, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 try:
-                    rows.append((name, extract_text(name, data), None))
+                    rows.append((name, extract_text(name, data, pdf_pages, ocr), None))
                 except Exception as e:  # noqa: BLE001  any broken file is a row of its own
                     rows.append((name, None, f"{type(e).__name__}: {e}"))
             if rows:

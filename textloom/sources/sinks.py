@@ -110,6 +110,14 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return placed.join(F.broadcast(starts), "_p").withColumn(name, F.col("_start") + F.col("_id") - F.col("_first")).drop("_p", "_id", "_first", "_start")
 
 
+def write_index(entries: DataFrame, path: str) -> int:
+    """An index's entries as JSON lines, and beside them their number; returns the number."""
+    entries.write.mode("overwrite").json(f"{path}/entries")
+    n = entries.sparkSession.read.text(f"{path}/entries").count()
+    entries.sparkSession.createDataFrame([(n,)], "total long").coalesce(1).write.mode("overwrite").json(f"{path}/total")
+    return n
+
+
 def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
