@@ -17,6 +17,7 @@ from textloom.functions import chunking as C
 from textloom.functions import markdown as M
 from textloom.functions import rules
 from textloom.functions import text as T
+from textloom.sources.storage import spread
 
 BATCH_ROWS = 1000
 
@@ -60,7 +61,7 @@ _DOC = ["document_id", "title", "url", "language", "content"]
 def production(docs: DataFrame, target: int = rules.TARGET_TOKENS, most: int = rules.MAX_TOKENS, least: int = rules.MIN_TOKENS, tokens: C.Tokens = C.estimate_or_none) -> DataFrame:
     """Chunks along the heading hierarchy of cleaned documents: docs(document_id, title, url, language, content)."""
     budget = C.Budget(target, most, least, tokens)
-    cleaned = docs.withColumn("content", T.clean_for_chunks(F.col("content")))
+    cleaned = spread(docs).withColumn("content", T.clean_for_chunks(F.col("content")))
 
     def make(d, title, url, language, text):  # short texts go here, where a filter would clean them a second time
         return _rows(d, title, url, language, C.hierarchy_of(text, title or "", budget)) if len(text) >= rules.MIN_CHUNKED_CHARS else ()
@@ -113,7 +114,7 @@ def _pieces(docs: DataFrame, key: str, content: str, split: Callable[[str], list
 
 def fixed(docs: DataFrame, key: str = "url", content: str = "content", size: int = rules.FIXED_CHARS, overlap: int = rules.FIXED_OVERLAP) -> DataFrame:
     """Character windows: key, chunk_index, total_chunks, text, chunk_id, char_count. Short bodies have none."""
-    own = docs.withColumn(content, T.drop_short_lines(F.col(content))).where(F.length(content) >= rules.FIXED_LEAST_CHARS)
+    own = spread(docs).withColumn(content, T.drop_short_lines(F.col(content))).where(F.length(content) >= rules.FIXED_LEAST_CHARS)
     parts = _pieces(own, key, content, lambda t: C.fixed_chunks(t, size, overlap))
     return parts.withColumn("chunk_id", T.url_chunk_id(F.col("key"), F.col("chunk_index"))).withColumn("char_count", F.length("text"))
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions import rules
 from textloom.functions import text as T
-from textloom.functions.names import free_name
 from textloom.operators import dedup
+from textloom.sources.storage import spread
 
 
 def usable_pages(pages: DataFrame) -> DataFrame:
@@ -50,16 +50,16 @@ def judged_chunks(chunks: DataFrame) -> DataFrame:
 
     Reasons come in that order and only chunks that passed the earlier ones count for the later.
     """
-    own = chunks.withColumn("reason", refusal(F.col("content"), F.col("title"), F.col("token_count"), F.col("has_table"), F.col("has_list")))
-    content = T.trim(T.text_or_empty(F.col("content")))
-    passed = own.where("reason is null").select("chunk_id", "token_count", T.content_hash(content).alias("hash"), dedup.prefix_of(F.col("content")).alias("prefix"))
-    twin = passed.withColumn("twin", F.row_number().over(Window.partitionBy("hash").orderBy("chunk_id")) > 1)
+    c, own_id = F.col("content"), F.concat(F.lit("chunk "), F.col("chunk_id").cast("string"))
+    reason = refusal(c, F.col("title"), F.col("token_count"), F.col("has_table"), F.col("has_list"))
+    # the patterns run once, and only narrow rows go through the windows; refused chunks have keys of their own there
+    narrow = spread(chunks).select("chunk_id", "token_count", reason.alias("own"), T.content_hash(T.trim(T.text_or_empty(c))).alias("hash"), dedup.prefix_of(c).alias("prefix"))
+    keyed = narrow.select("chunk_id", "token_count", "own", *[F.when(F.col("own").isNull(), F.col(n)).otherwise(own_id).alias(n) for n in ("hash", "prefix")])
+    twin = keyed.withColumn("twin", F.row_number().over(Window.partitionBy("hash").orderBy("chunk_id")) > 1)
     near = F.row_number().over(Window.partitionBy("twin", "prefix").orderBy(F.desc("token_count"), "chunk_id")) > 1
     late = F.when(F.col("twin"), "exact_dupes").when(F.col("prefix") == "", "blank").when(near, "near_dupes")
-    verdict = twin.select("chunk_id", late.alias("late")).where("late is not null")
-    mark = free_name("late", chunks.columns)
-    met = own.join(verdict.withColumnRenamed("late", mark), "chunk_id", "left")
-    return met.withColumn("reason", F.coalesce("reason", mark)).drop(mark)
+    verdict = twin.select("chunk_id", F.coalesce("own", late).alias("reason"))
+    return chunks.join(verdict, "chunk_id", "left").select(*chunks.columns, "reason")
 
 
 def clean_chunks(chunks: DataFrame) -> DataFrame:

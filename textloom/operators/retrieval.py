@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import rules
 from textloom.functions import text as T
+from textloom.sources.storage import spread
 
 Keep = Callable[[DataFrame], DataFrame]
 
@@ -87,7 +88,7 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int = rules.CANDIDATES, k
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", content: str = "content") -> dict[str, DataFrame]:
-    own = admitted(docs, content)
+    own = admitted(spread(docs.select(key, content)), content)
     posts, stats = postings(own, key, content), doc_stats(own, key, content)
     corpus = corpus_stats(stats)
     return {"postings": posts, "doc_stats": stats, "corpus_stats": corpus, "term_stats": term_stats(posts, corpus)}

@@ -20,3 +20,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
             place = f"file://{os.path.join(tempfile.gettempdir(), 'textloom-shared')}"
         context.setCheckpointDir(place)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input dealt out to all cores: a file with one row group is one task's work, however many cores wait.
+
+    Inputs of more splits than there are cores, by the size of their files, stay as they are, so nothing large is shuffled.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < split * cores else df
