@@ -1,11 +1,18 @@
-"""A corpus from raw documents to packed sequences: each stage works on what the one before it kept."""
+"""A corpus from raw documents to packed sequences: each stage works on what the one before it kept.
+
+Defined cases, of every stage but the last: all columns come back as they were, whatever their names, but for text and
+n_chars where lines were dropped. A null or empty text fails the quality rules (fewer than 50 words), and a stage that
+gets one all the same takes it as empty. Rows that repeat a doc_id or a text are judged alike; of near copies, exact
+copies and repeated rows the one of the least doc_id stays; null doc_ids count after all others. Ties are decided by
+doc_id and line. Texts of any length are worked on whole. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import decontaminate, line_dedup, packing, quality_rules, simhash
-from textloom.llm.common import cut, table
+from textloom.llm.common import cut, scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +57,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's result is a table before the next reads it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        with scratch(spark, name) as remove:
+            kept = stage(spark, docs, sf_dir)
+        docs = cut(kept, name)
+        remove()
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -47,6 +47,22 @@ def test_exact_copies_with_short_lines_leave_no_stub(spark, make_docs, sf):
     assert kept == {1: text, 4: "words of its own that no other document has in it"}
 
 
+def test_stages_on_odd_rows(spark, sf):
+    names = ["text_key", "near_id", "dropped", "rest", "own_doc_id", "rid", "hits", "fp", "h", "root", "kept", "score"]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    own = " ".join(f"word{i} of{i % 7} text{i % 11}" for i in range(60))
+    texts = [(1, own), (1, own), (2, None), (3, ""), (None, own + " without an id"), (4, own), (5, f"{own}\nmore lines {own[::-1]}"), (6, " ".join(f"w{i}" for i in range(60_000))), (7, " \n\t")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *names) for i, t in texts], ddl)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        rows = out.collect()
+        assert out.columns == docs.columns, name
+        assert all([r[n] for n in names] == names for r in rows), name
+        assert 6 in {r["doc_id"] for r in rows}, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert len({(r["doc_id"], r["piece"]) for r in packed}) >= 8 and {r["doc_id"] for r in packed} == {i for i, _ in texts}
+
+
 def test_run_packs_what_is_kept(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 50

@@ -6,12 +6,16 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.names import free_name  # noqa: F401  for the operators
+
 BATCH_BYTES = 16 * 1024 * 1024
 BATCH_ROWS = 2000
 ROWS_PER_PARTITION = 1_000_000
@@ -36,8 +40,22 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}"
 
 
+_scopes: list[str] = []
+
+
 def new_place(spark: SparkSession, label: str) -> str:
-    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return "/".join([_own_folder(spark), *_scopes, f"{label}-{uuid.uuid4().hex}"])
+
+
+@contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[Callable[[], None]]:
+    """Tables written within go to a folder of their own; gives a function that removes it, for when their result is a table elsewhere."""
+    _scopes.append(f"{label}-{uuid.uuid4().hex}")
+    place = "/".join([_own_folder(spark), *_scopes])
+    try:
+        yield lambda: _remove(spark, place)
+    finally:
+        _scopes.pop()
 
 
 def gather(df: DataFrame, rows: int) -> DataFrame:
@@ -56,10 +74,14 @@ def cut(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
+def _remove(spark: SparkSession, place: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clean_up(spark: SparkSession) -> None:
     """Remove this application's tables from the shared folder; for when its results have been written."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _remove(spark, _own_folder(spark))
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -139,14 +161,6 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def free_name(wanted: str, taken: list[str]) -> str:
-    """`wanted`, or with as many underscores as it takes to be no column's name (names differ by more than case)."""
-    low = {n.lower() for n in taken}
-    while wanted.lower() in low:
-        wanted += "_"
-    return wanted
-
-
 def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """df (a table of narrow rows) marked for broadcast if it has at most `rows` rows; beyond that Spark joins it as it sees fit."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

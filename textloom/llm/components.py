@@ -1,50 +1,13 @@
-"""Distributed union-find: connected components by large-star and small-star joins.
-
-Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Each round is a pre-aggregated minimum over
-neighbours and an equi-join, so a node with very many neighbours is dealt over tasks by Spark's skew handling, and each
-round's links are a table in the shared folder.
-"""
+"""Connected components over tables in the shared folder: the engine's distributed union-find, its rounds saved there."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from textloom.llm.common import cut
-
-MAX_ROUNDS = 60
-
-
-def _both(links: DataFrame) -> DataFrame:
-    return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-
-def _star(pairs: DataFrame, up: bool) -> DataFrame:
-    """pairs(a, b): links of a to b. m is the least of a and its neighbours; neighbours over a (up) or all that pairs holds link to m."""
-    least = pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    met = pairs.join(least, "a")
-    if up:
-        return met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-    own = least.select("a", F.col("m").alias("b"))
-    return met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(own).where("a <> b").distinct()
+from textloom.operators import components
 
 
 def connected(links: DataFrame, rows: int | None = None) -> DataFrame:
     """links(a, b) -> node, root: each linked node with the least node of its component. rows: a bound of the number of links, where one is known."""
-    now = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links", rows)
-    for _ in range(MAX_ROUNDS):
-        if _settled(now):
-            break
-        large = _star(_both(now), up=True)
-        now = cut(_star(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), up=False), "links", rows)
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
-def _settled(links: DataFrame) -> bool:
-    """Whether the links are stars: no node links to two others, and none that is linked to links on."""
-    if links.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        return False
-    return not links.join(links.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
+    return components.connected(links, lambda df: cut(df, "links", rows))
