@@ -68,6 +68,49 @@ def test_trees_find_every_pair(monkeypatch, rows, least):
     assert [found.find(i) for i in range(len(fp))] == [wanted.find(i) for i in range(len(fp))]
 
 
+def group_and_satellites(seed, members, satellites, others):
+    """Fingerprints within 4 bits of each other, more that are one bit a quarter off one of them, and random ones."""
+    rng = np.random.default_rng(seed)
+    bit = lambda n, low=0, high=64: np.uint64(1) << rng.integers(low, high, n).astype(np.uint64)
+    group = np.uint64(rng.integers(0, 2**63)) ^ bit(members) ^ bit(members)
+    off = group[rng.integers(0, members, satellites)]
+    for q in range(4):
+        off = off ^ bit(satellites, 16 * q, 16 * q + 16)
+    return np.unique(np.concatenate([group, off, rng.integers(0, 2**63, others).astype(np.uint64)])).view(np.int64)
+
+
+def roots_of(fp, owned):
+    """Components of pairs within 4 bits of which at least one is owned, each pair compared."""
+    groups, bare = Groups(len(fp)), fp.view(np.uint64)
+    for i in range(len(fp)):
+        for j in np.flatnonzero((np.bitwise_count(bare ^ bare[i]) <= 4) & (owned | owned[i])):
+            groups.unite(i, int(j))
+    return [groups.find(i) for i in range(len(fp))]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.4, 0.9, 1.0])
+def test_visitors_meet_owned_members_of_the_largest_component(share):
+    rng = np.random.default_rng(6)
+    for seed in range(12):
+        fp = rng.permutation(group_and_satellites(seed, 60, 150, 40))
+        owned = rng.random(len(fp)) < share
+        found, place = Groups(len(fp)), {int(x): i for i, x in enumerate(fp)}
+        for a, b in zip(*S.shard_links(fp, owned), strict=True):
+            found.unite(place[int(a)], place[int(b)])
+        assert [found.find(i) for i in range(len(fp))] == roots_of(fp, owned)
+    assert [len(x) for x in S.shard_links(fp[:0], owned[:0])] == [0, 0]
+
+
+def test_links_of_a_large_group_with_satellites(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARD_ROWS", 40)
+    fp = group_and_satellites(0, 200, 1500, 2000)
+    distinct = spark.createDataFrame([(int(x),) for x in fp], "fp long")
+    found, place = Groups(len(fp)), {int(x): i for i, x in enumerate(fp)}
+    for r in S.links(distinct, len(fp)).collect():
+        found.unite(place[r["a"]], place[r["b"]])
+    assert [found.find(i) for i in range(len(fp))] == roots_of(fp, np.ones(len(fp), bool))
+
+
 def test_near_duplicates_equal_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = {r["doc_id"]: r for r in S.near_duplicates(docs).collect()}

@@ -213,10 +213,13 @@ def shard_links(fp: np.ndarray, owned: np.ndarray, bits: int = BITS) -> tuple[np
     """Links that unite exactly what linked pairs with at least one owned member unite.
 
     First some pivots are compared with all, which unites large groups; then each owned fingerprint outside the largest
-    component is compared with all. Pairs inside the largest component need no comparison, so a shard that one group
-    of near copies fills costs a few passes over it.
+    component is compared with all, and each visitor outside it with the owned members of the largest component that
+    are as far from one of its places as the visitor is, give or take `bits` (triangle inequality). Pairs inside the
+    largest component need no comparison, so a shard that one group of near copies fills costs a few passes over it.
     """
     n = len(fp)
+    if not n:
+        return fp, fp
     u = _Union(n)
     bare = fp.view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
 
@@ -232,8 +235,10 @@ def shard_links(fp: np.ndarray, owned: np.ndarray, bits: int = BITS) -> tuple[np
         done[i] = True
     root = u.roots()
     values, counts = np.unique(root, return_counts=True)
-    todo = np.flatnonzero(owned & ~done & (root != values[counts.argmax()])) if n else np.empty(0, np.int64)
-    size = max(1, BLOCK // max(n, 1))
+    lead = int(values[counts.argmax()])
+    members = np.flatnonzero(owned & ~done & (root == lead))
+    todo = np.flatnonzero(owned & ~done & (root != lead))
+    size = max(1, BLOCK // n)
     for at in range(0, len(todo), size):
         rows = todo[at : at + size]
         near = np.bitwise_count(bare[rows, None] ^ bare) <= bits
@@ -242,6 +247,15 @@ def shard_links(fp: np.ndarray, owned: np.ndarray, bits: int = BITS) -> tuple[np
             if (root[near[k]] != root[i]).any():
                 meet(i, near[k])
                 root = u.roots()
+    if len(members):
+        far = np.bitwise_count(bare ^ bare[lead]).astype(np.int64)
+        visitors = np.flatnonzero(~owned & ~done & (u.roots() != u.find(lead)))
+        for distance in np.unique(far[visitors]):
+            rows, others = visitors[far[visitors] == distance], members[np.abs(far[members] - distance) <= bits]
+            size = max(1, BLOCK // max(len(others), 1))
+            for at in range(0, len(rows), size):
+                near = (np.bitwise_count(bare[rows[at : at + size], None] ^ bare[others]) <= bits).any(axis=1)
+                u.unite(lead, rows[at : at + size][near])
     root = u.roots()
     linked = np.flatnonzero(root != np.arange(n))
     return fp[linked], fp[root[linked]]
