@@ -274,3 +274,66 @@ def test_bucket_links_equal_brute_force(monkeypatch, few):
                 if j(forms[i], forms[k]) >= 0.8:
                     wanted.unite(i, k)
         assert [groups.find(i) for i in range(12)] == [wanted.find(i) for i in range(12)]
+
+
+def test_like_lines_of_a_bucket_that_do_not_link_are_hardly_compared(monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(60)]
+    forms = [" ".join(word() if rng.random() < 0.2 else w for w in base) for _ in range(200)]
+    forms.append(forms[100] + "!")
+    members = [(i, 0.6, form) for i, form in enumerate(forms)]
+    calls, exact = [], L.jaccard
+    monkeypatch.setattr(L, "jaccard", lambda a, b: calls.append(1) or exact(a, b))
+    assert L.bucket_links(members) == [(200, 100)]
+    assert len(calls) < 100  # of 20,100 pairs
+
+
+@pytest.mark.parametrize("few", [0, 4096])
+@pytest.mark.parametrize("letters", ["abcdefghijklmnop", "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x4E00, 0x5200))) + "\U0001f600"])
+def test_bucket_links_in_any_script(monkeypatch, few, letters):
+    monkeypatch.setattr(L, "FEW", few)
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice(letters) for _ in range(6))
+    base = [word() for _ in range(50)]
+    forms = [" ".join(base)]
+    for _ in range(40):
+        words = rng.choice(forms).split()
+        for _ in range(rng.randrange(1, 5)):
+            words[rng.randrange(50)] = word()
+        forms.append(" ".join(words))
+    j = lambda a, b: L.jaccard(L.shingles(a), L.shingles(b))
+    lead, groups, wanted = forms[0], Groups(41), Groups(41)
+    members = [(i, j(f, lead), f) for i, f in enumerate(forms) if i]
+    for i, k, _ in members:
+        if k >= 0.8:
+            groups.unite(0, i)
+    links = L.bucket_links(members)
+    for a, b in links:
+        assert j(forms[a], forms[b]) >= 0.8
+        groups.unite(a, b)
+    for i in range(41):
+        for k in range(i):
+            if j(forms[i], forms[k]) >= 0.8:
+                wanted.unite(i, k)
+    assert links and [groups.find(i) for i in range(41)] == [wanted.find(i) for i in range(41)]
+
+
+def test_sets_of_numbers_measure_as_sets_of_strings():
+    rng = random.Random(14)
+    narrow = ["".join(rng.choice("abé —я") for _ in range(rng.randrange(8, 40))) for _ in range(60)] + ["aaaaaaaa", "a" * 60_000]
+    wide = narrow + ["".join(map(chr, range(0x4E00, 0x4F00)))]
+    for forms, kind in ((narrow, np.ndarray), (wide, frozenset)):
+        sets = L.shingle_sets(forms)
+        assert all(isinstance(s, kind) for s in sets)
+        for x, a in zip(forms, sets, strict=True):
+            for y, b in zip(forms, sets, strict=True):
+                assert L.jaccard(a, b) == L.jaccard(L.shingles(x), L.shingles(y))
+
+
+def test_lines_of_a_text_are_normal():
+    rng = random.Random(15)
+    for letters in ("aB \n", "aΣς. \nİ", "a \n\t", "a\u3000\x85 \n", "Ab\x1c\r \n"):
+        for _ in range(300):
+            text = "".join(rng.choice(letters) for _ in range(rng.randrange(30)))
+            assert L.normal_lines(text) == [L.normal(line) for line in text.split("\n")]

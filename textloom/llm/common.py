@@ -13,6 +13,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from textloom.functions.names import free_name  # noqa: F401  for the operators
 
@@ -90,7 +91,7 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
     """df.mapInArrow with bounded batches; fn takes and returns an iterator of record batches."""
     bound_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
@@ -108,7 +109,7 @@ def store_of(path: str):
     return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}{mark}{rest}")
 
 
-def cut_map(df: DataFrame, fn, schema: str, label: str) -> DataFrame:
+def cut_map(df: DataFrame, fn, schema: str | StructType, label: str) -> DataFrame:
     """df.mapInArrow as a table in the shared folder, its files written where the rows are made.
 
     Each task writes one file under a name of its own and gives the name back; only the files of tasks that finished
@@ -147,6 +148,11 @@ def cut_map(df: DataFrame, fn, schema: str, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(*[f"{place}/{n}" for n in names])
 
 
+def cut_rows(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """cut of narrow rows, its files written as cut_map writes them: on a local file system Spark's JVM forks `chmod` for each file it writes."""
+    return cut_map(df if rows is None else gather(df, rows), iter, df.schema, label)
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

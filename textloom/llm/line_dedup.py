@@ -13,7 +13,9 @@ comes first, by doc_id and line number, is kept.
    candidates keeps all others from the shuffle, and no document is read or moved again. Where a member fails against its lead,
    the bucket's failures are compared with each other, and with those members that the triangle inequality of
    Jaccard distance still allows: a member x linked to the lead can be within 0.2 of a failure y only if
-   j(x) <= j(y) + 0.2. Comparisons inside one component are skipped; links alone are put out.
+   j(x) <= j(y) + 0.2. Comparisons inside one component are skipped; links alone are put out. Shingles are compared as
+   numbers that hold their characters, so the comparison stays exact; in a bucket, bits of a fixed number tell first
+   which pairs differ too much.
 4. Links are united by large-star and small-star rounds, and occurrences by a minimum over each component. A component's
    minimum is a table before occurrences are joined with it, so that Spark can split the occurrences of a very common line.
 
@@ -35,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import bloom
-from textloom.llm.common import arrow_map, batch, cut, cut_map, free_name, gather, only
-from textloom.llm.components import connected
+from textloom.llm.common import arrow_map, batch, cut_map, cut_rows, free_name, gather, only
+from textloom.operators.components import connected
 
 GRAM = 8
 SIMILARITY = 0.8
@@ -45,13 +47,16 @@ SEED = 20_011
 CHUNK_CHARS = 50_000  # of new lines signed at once: their arrays stay in a core's cache
 CHUNK_LINES = 5_000
 SEEN_LINES = 300_000
-FEW = 24  # members of a bucket up to which it is compared without an index
+FEW = 4096  # members of a bucket up to which it is compared without an index
+MARKS = 2048  # bits that a set of shingles is first compared by
 
 _rng = np.random.default_rng(SEED)
 _FACTORS = _rng.integers(0, 2**31, BANDS * ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFTS = _rng.integers(0, 2**32, BANDS * ROWS).astype(np.uint32)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+_POWERS = {k: np.uint64(pow(int(_STEP), k, 1 << 64)) for k in (1, 2, 4)}
+_CLOSE = (1 + SIMILARITY) / (1 - SIMILARITY)  # times the differing shingles: the least sum of sizes at SIMILARITY
 
 
 def normal(line: str) -> str | None:
@@ -59,6 +64,16 @@ def normal(line: str) -> str | None:
     return " ".join(line.lower().split()) or None
 
 
+_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+
+
+def normal_lines(text: str) -> list[str | None]:
+    """normal() of each line of a text."""
+    if "  " in text or any(c in text for c in _BLANKS):
+        return [normal(line) for line in text.split("\n")]
+    return [line.strip(" ") or None for line in text.lower().split("\n")]  # nothing within a line to collapse
+
+
 def line_hash(form: str) -> int:
     value = xxhash.xxh3_64_intdigest(form.encode("utf-8", "surrogatepass"))
     return value - (1 << 64) if value >> 63 else value
@@ -69,11 +84,9 @@ def bands(forms: list[str]) -> np.ndarray:
     x = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     lengths = np.fromiter(map(len, forms), np.int64, len(forms))
     starts = np.cumsum(lengths) - lengths
-    n = len(x) - GRAM + 1
-    h = np.zeros(n + 1, np.uint64)  # one more, that the last edge has a place
-    for i in range(GRAM):
-        h[:n] *= _STEP
-        h[:n] += x[i : i + n]
+    for step in (1, 2, 4):  # polynomials over 2, 4 and GRAM characters
+        x = x[:-step] * _POWERS[step] + x[step:]
+    h = np.concatenate([x, [np.uint64(0)]])  # one more, that the last edge has a place
     h ^= h >> np.uint64(32)
     h *= _MIX
     short = (h >> np.uint64(32)).astype(np.uint32)
@@ -96,10 +109,67 @@ def shingles(form: str) -> frozenset[str]:
     return frozenset(form[i : i + GRAM] for i in range(len(form) - GRAM + 1))
 
 
-def jaccard(a: frozenset, b: frozenset) -> float:
+def _chunks(forms: list[str]) -> Iterator[list[str]]:
+    """The forms in runs of about CHUNK_CHARS characters."""
+    own, chars = [], 0
+    for form in forms:
+        own.append(form)
+        chars += len(form)
+        if chars >= CHUNK_CHARS:
+            yield own
+            own, chars = [], 0
+    if own:
+        yield own
+
+
+def _codes(forms: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def shingle_sets(forms: list[str]) -> list[np.ndarray] | list[frozenset[str]]:
+    """The set of shingles of each form, all of one kind.
+
+    Forms of at most 256 different characters between them give sorted arrays of numbers that hold a byte for each of
+    GRAM characters, so equal numbers are equal shingles; such arrays are compared only with those of the same call.
+    Others give sets of strings.
+    """
+    known = np.zeros(256, bool)
+    for some in _chunks(forms):
+        x = _codes(some)
+        if (top := int(x.max())) >= len(known):
+            known = np.concatenate([known, np.zeros(top + 1 - len(known), bool)])
+        known[x] = True
+    if np.count_nonzero(known) > 256:
+        return [shingles(form) for form in forms]
+    place = (np.cumsum(known) - 1).astype(np.uint64)
+    out = []
+    for some in _chunks(forms):
+        x = place[_codes(some)]
+        for step in (1, 2, 4):
+            x = x[:-step] << np.uint64(8 * step) | x[step:]
+        at = 0
+        for form in some:
+            own = np.sort(x[at : at + len(form) - GRAM + 1])
+            first = np.empty(len(own), bool)
+            first[0] = True
+            np.not_equal(own[1:], own[:-1], out=first[1:])
+            out.append(own[first])
+            at += len(form)
+    return out
+
+
+def _shared(a: np.ndarray | frozenset, b: np.ndarray | frozenset) -> int:
+    if isinstance(a, frozenset):
+        return len(a & b)
+    both = np.concatenate([a, b])
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def jaccard(a: np.ndarray | frozenset, b: np.ndarray | frozenset) -> float:
     if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
         return min(len(a), len(b)) / max(len(a), len(b))  # no more than this, which fails
-    both = len(a & b)
+    both = _shared(a, b)
     return both / (len(a) + len(b) - both)
 
 
@@ -120,8 +190,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            for number, line in enumerate(text.split("\n")):
-                if (form := normal(line)) is None:
+            for number, form in enumerate(normal_lines(text)):
+                if form is None:
                     continue
                 h = line_hash(form)
                 new = len(form) >= GRAM and h not in seen  # a line without a shingle is compared by its hash alone
@@ -162,28 +232,58 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("h", pa.int64()), ("lead", pa.int64()), ("j", pa.float64())])
-    last, own = None, frozenset()
-    for b in batches:
-        found = []
-        for lead, x, y in zip(*(b.column(c).to_pylist() for c in ("lead", "form", "lead_form")), strict=True):
+
+    def measured(pairs: list[tuple[int, str, str]]) -> Iterator[float]:
+        forms, last = [], None
+        for lead, x, y in pairs:
+            if lead != last:
+                forms.append(y)
+                last = lead
+            forms.append(x)
+        sets, last, own = iter(shingle_sets(forms)), None, None
+        for lead, _, _ in pairs:
             if lead != last:
-                last, own = lead, shingles(y)
-            most = len(x) - GRAM + 1  # shingles that x can have
-            found.append(most / len(own) if most < SIMILARITY * len(own) else jaccard(shingles(x), own))
+                last, own = lead, next(sets)
+            yield jaccard(next(sets), own)
+
+    for b in batches:
+        found, pairs, chars = [], [], 0
+        for pair in zip(*(b.column(c).to_pylist() for c in ("lead", "form", "lead_form")), strict=True):
+            pairs.append(pair)
+            chars += len(pair[1])
+            if chars >= CHUNK_CHARS:
+                found += measured(pairs)
+                pairs, chars = [], 0
+        found += measured(pairs)
         yield batch(schema, b.column("h"), b.column("lead"), found)
 
 
-def _prefix(shingles_: frozenset) -> list[str]:
+def _prefix(own: np.ndarray | frozenset) -> list:
     """The first shingles in an order that all sets share; sets at SIMILARITY or more have one of these in common."""
-    n = len(shingles_)
-    return sorted(shingles_, key=hash)[: n - math.ceil(SIMILARITY * n - 1e-9) + 1]
+    n = len(own)
+    most = n - math.ceil(SIMILARITY * n - 1e-9) + 1
+    return sorted(own, key=hash)[:most] if isinstance(own, frozenset) else own[np.argsort(own * _STEP)[:most]].tolist()
+
+
+def _marks(sets: list[np.ndarray] | list[frozenset]) -> np.ndarray:
+    """MARKS bits for each set, those that its shingles hash to, as rows of 64-bit words."""
+    out = np.empty((len(sets), MARKS // 64), np.uint64)
+    for at in range(0, len(sets), 1000):
+        some = sets[at : at + 1000]
+        bits = np.zeros((len(some), MARKS), bool)
+        for row, own in zip(bits, some, strict=True):
+            row[[hash(s) % MARKS for s in own] if isinstance(own, frozenset) else (own * _STEP >> np.uint64(32)) % np.uint64(MARKS)] = True
+        out[at : at + 1000] = np.packbits(bits, axis=1).view(np.uint64)
+    return out
 
 
 def bucket_links(members: list[tuple[int, float, str]]) -> list[tuple[int, int]]:
     """Links that unite what pairs at SIMILARITY or more unite, between failures (j under SIMILARITY) and among failures and linked members.
 
-    Linked members are one component from the start. In buckets of more than FEW members candidates share a shingle of
-    both prefixes, so unlike lines are never compared.
+    Linked members are one component from the start. Sets that differ in d shingles are at SIMILARITY or more only if
+    _CLOSE * d <= the sum of their sizes, and differ in as many at least as their marks do, so pairs whose marks say no are not
+    compared; all others are, exactly. In buckets of more than FEW members candidates share a shingle of both prefixes
+    too, so unlike lines do not even meet.
     """
     if len(members) < 2:
         return []
@@ -194,28 +294,29 @@ def bucket_links(members: list[tuple[int, float, str]]) -> list[tuple[int, int]]
             h = root[h]
         return h
 
-    links, at, held = [], {}, []
-    indexed = len(members) > FEW  # small buckets are cheaper to compare than to index
-    for h, j, form in sorted(members, key=lambda m: (m[1] < SIMILARITY, m[0])):  # linked members first
-        own = shingles(form) if indexed or j < SIMILARITY else None
-        first = _prefix(own) if indexed else ()
-        if j < SIMILARITY:
-            for i in sorted({i for s in first for i in at.get(s, ())}) if indexed else range(len(held)):
-                g, k, other, its = held[i]
-                if find(h) == find(g) or (k >= SIMILARITY and k > j + 1 - SIMILARITY + 1e-9):
+    links, at = [], {}
+    indexed = len(members) > FEW
+    members = sorted(members, key=lambda m: (m[1] < SIMILARITY, m[0]))  # linked members first
+    sets = shingle_sets([form for _, _, form in members])
+    marks, sizes = _marks(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    for i, (h, j, _) in enumerate(members):
+        first = _prefix(sets[i]) if indexed else ()
+        if j < SIMILARITY and i:
+            near = np.array(sorted({k for s in first for k in at.get(s, ())}), np.int64) if indexed else slice(i)
+            apart = np.bitwise_count(marks[near] ^ marks[i]).sum(axis=1, dtype=np.int64)
+            hope = np.flatnonzero(_CLOSE * apart <= (sizes[near] + sizes[i]) * (1 + 1e-9))
+            for k in (near[hope] if indexed else hope).tolist():
+                g, its, _ = members[k]
+                if find(h) == find(g) or (its >= SIMILARITY and its > j + 1 - SIMILARITY + 1e-9):
                     continue
-                if other is None:
-                    other = shingles(its)
-                    held[i] = g, k, other, its
-                if jaccard(own, other) >= SIMILARITY:
+                if jaccard(sets[i], sets[k]) >= SIMILARITY:
                     links.append((h, g))
                     top, below = find(g), find(h)
                     if below is None:
                         top, below = below, top
                     root[below] = top
         for s in first:
-            at.setdefault(s, []).append(len(held))
-        held.append((h, j, own, form))
+            at.setdefault(s, []).append(i)
     return links
 
 
@@ -247,7 +348,7 @@ def _forms(lines: DataFrame, wanted: DataFrame) -> DataFrame:
             yield b.filter(pa.array(bloom.passes(shared.value, b.column("h").to_numpy())))
 
     hoped = arrow_map(lines.where("fresh").select("h", "form"), pick, "h long, form string")
-    return cut(hoped.join(wanted, "h", "left_semi").dropDuplicates(["h"]), "forms")
+    return cut_rows(hoped.join(wanted, "h", "left_semi").dropDuplicates(["h"]), "forms")
 
 
 def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -258,22 +359,22 @@ def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     keyed = lines.where("fresh").select("h", F.explode("bands").alias("key"))
     stars = cut_map(keyed.repartition("key").sortWithinPartitions("key", "h"), _stars, "key long, h long, lead long", "stars")
     pairs = stars.select("h", "lead").distinct()
-    wanted = cut(stars.select(F.explode(F.array("h", "lead")).alias("h")).distinct(), "wanted", n)
+    wanted = cut_rows(stars.select(F.explode(F.array("h", "lead")).alias("h")).distinct(), "wanted", n)
     forms = _forms(lines, wanted)
     told = pairs.join(forms, "h").join(forms.select(F.col("h").alias("lead"), F.col("form").alias("lead_form")), "lead").select("h", "lead", "form", "lead_form")
     measured = cut_map(told, _measure, "h long, lead long, j double", "measured")
     links = measured.where(F.col("j") >= SIMILARITY).select(F.col("h").alias("a"), F.col("lead").alias("b"))
     more = _residual_links(stars, measured, forms)
-    return lines.select("doc_id", "line", "h"), connected(links.unionByName(more), n), n
+    return lines.select("doc_id", "line", "h"), connected(links.unionByName(more), lambda df: cut_rows(df, "links", n)), n
 
 
 def _residual_links(stars: DataFrame, measured: DataFrame, forms: DataFrame) -> DataFrame:
-    members = cut(stars.join(measured, ["h", "lead"]), "members")
+    members = cut_rows(stars.join(measured, ["h", "lead"]), "members")
     failed = F.when(F.col("j") < SIMILARITY, F.col("j"))
     # sums by bucket are tables before rows are joined with them, so that Spark can split the rows of a very full bucket
-    hopes = cut(members.groupBy("key").agg((F.max(failed) + 1 - SIMILARITY + 1e-9).alias("reach"), F.count("*").alias("n")).where("reach is not null and n > 1").drop("n"), "hopes")
-    met = cut(members.join(hopes, "key").where((F.col("j") < SIMILARITY) | (F.col("j") <= F.col("reach"))).select("key", "h", "j"), "met")
-    several = cut(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "several")
+    hopes = cut_rows(members.groupBy("key").agg((F.max(failed) + 1 - SIMILARITY + 1e-9).alias("reach"), F.count("*").alias("n")).where("reach is not null and n > 1").drop("n"), "hopes")
+    met = cut_rows(members.join(hopes, "key").where((F.col("j") < SIMILARITY) | (F.col("j") <= F.col("reach"))).select("key", "h", "j"), "met")
+    several = cut_rows(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "several")
     told = met.join(several, "key").join(forms, "h").select("key", "h", "j", "form")
     return arrow_map(told.repartition("key").sortWithinPartitions("key"), _residue, "a long, b long")
 
@@ -281,10 +382,10 @@ def _residual_links(stars: DataFrame, measured: DataFrame, forms: DataFrame) ->
 def drops(docs: DataFrame) -> tuple[DataFrame, int]:
     """doc_id, dropped (array of line numbers) of the documents that lose lines; and the number of lines that took part."""
     lines, found, n = line_components(docs)
-    rooted = cut(lines.join(found, lines.h == found.node, "left").select("doc_id", "line", F.coalesce("root", "h").alias("root")), "rooted", n)
+    rooted = cut_rows(lines.join(found, lines.h == found.node, "left").select("doc_id", "line", F.coalesce("root", "h").alias("root")), "rooted", n)
     place = F.struct("doc_id", "line")
     first = rooted.groupBy("root").agg(F.min(place).alias("keep"), F.max(place).alias("last")).where("keep <> last").select("root", "keep")
-    gone = rooted.join(cut(first, "first", n), "root").where(place != F.col("keep"))
+    gone = rooted.join(cut_rows(first, "first", n), "root").where(place != F.col("keep"))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped")), n
 
 
