@@ -1,12 +1,19 @@
 import hashlib
+import platform
 import random
 import re
 import string
+import tracemalloc
+from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from textloom.llm import quality_rules as Q
 from textloom.llm import secret_scan as S
+from textloom.llm.common import arrow_map
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CLEAN = " ".join(f"plain{i % 37} word{i % 61} here{i % 13}" for i in range(40))
@@ -93,6 +100,59 @@ def test_counts_of_blocks_equal_brute_force(spark, make_docs, block):
     assert [x.tolist() for x in Q.totals(make_docs(rows), labels, 6, block)] == wanted
 
 
+class Captured:
+    """Stands for a DataFrame: keeps the function that mapInArrow gets."""
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def mapInArrow(self, fn, schema):
+        self.fn = fn
+        return self
+
+    def groupBy(self, *_):
+        return self
+
+    def agg(self, *_):
+        return self
+
+
+def anonymous_mb():
+    return int(re.search(r"Pss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+
+@pytest.mark.skipif(platform.libc_ver()[0] != "glibc", reason="malloc_trim is glibc's")
+def test_a_worker_gives_memory_back_after_a_task(spark):
+    pins = []
+
+    def hold(batches):
+        pieces = [bytes([i % 256]) * 1000 for i in range(200_000)]
+        pins.append(pieces[-1])  # stays at the top of the heap
+        yield from batches
+
+    task = arrow_map(Captured(spark), hold, "text string").fn
+    before = anonymous_mb()
+    assert list(task(iter([1, 2]))) == [1, 2]
+    assert anonymous_mb() < before + 60
+
+
+def test_counting_holds_a_bounded_number_of_features(spark):
+    texts = [" ".join(f"w{(i * j) % 5000}" for i in range(1000)) for j in range(1000)] + ["", None, "one"] * 20
+    rows = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    trusted = SimpleNamespace(value=np.arange(0, len(texts), 2))
+    for raw_too in (True, False):
+        task = Q.count_buckets(Captured(spark), trusted, raw_too=raw_too).fn
+        tracemalloc.start()
+        out = list(task(iter([rows])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 24e6
+        found = {b: (r, t) for part in out for b, r, t in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True)}
+        each = [Q.features((t or "").encode().split(), Q._Words()) for t in texts]
+        raw, good = Counter(np.concatenate(each).tolist()), Counter(np.concatenate(each[::2]).tolist())
+        assert found == {b: (raw[b] * raw_too, good[b]) for b in (raw if raw_too else good)}
+
+
 def test_scores_and_verdicts_equal_brute_force(spark, make_docs):
     """The ratio in plain floats over dictionaries; the operator's weights are whole millionths."""
     import math
