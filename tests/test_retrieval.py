@@ -137,3 +137,51 @@ def test_metadata_precedence(spark):
     files = spark.createDataFrame([("s", {"a": "file", "c": "file"})], "stem string, metadata map<string,string>")
     assert documents.with_metadata(docs, files, True).first()["metadata"] == {"a": "file", "b": "doc", "c": "file"}
     assert documents.with_metadata(docs, files, False).first()["metadata"] == {"a": "doc", "b": "doc", "c": "file"}
+
+
+def test_bm25_reads_documents_twice(spark):
+    """Once for the counts of all terms and once for the scores, beside one look at the keys."""
+    asked, docs = frames(spark)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    got = retrieval.bm25_top_k(asked, docs.mapInArrow(count, docs.schema), 4).select("query_id", "doc_id", "rank", F.round("score", 6)).collect()
+    assert sorted(map(tuple, got)) == brute_bm25(4) and read.value <= 3 * len(DOCS)
+
+
+def test_bm25_shuffles_no_postings(spark):
+    asked, docs = frames(spark)
+    for df in (retrieval.bm25_top_k(asked, docs, 4), retrieval.build_index(docs)["postings"]):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\([^)]*doc_id", plan)
+
+
+def test_bm25_of_many_queries_and_of_repeated_keys(spark, monkeypatch):
+    asked, docs = frames(spark)
+    twice = docs.withColumn("doc_id", F.least("doc_id", F.lit(3)))  # keys that stand more than once count as the tables of an index do
+    i = retrieval.build_index(twice)
+    joined = retrieval.bm25_scores(asked, i["postings"], i["doc_stats"], i["term_stats"], i["corpus_stats"])
+    assert sorted(map(tuple, retrieval.bm25_of(asked, twice).collect())) == sorted(map(tuple, joined.collect()))
+    assert i["postings"].groupBy("doc_id", "term").count().where("count > 1").count() == 0
+    whole = sorted(map(tuple, retrieval.bm25_of(asked, docs).collect()))
+    for name, value in (("SENT_ENTRIES", 1), ("HELD_SCORES", 1), ("HELD_TERMS", 1), ("BATCH_ROWS", 1)):
+        monkeypatch.setattr(retrieval, name, value)
+        assert sorted(map(tuple, retrieval.bm25_of(asked, docs).collect())) == whole
+    monkeypatch.setattr(retrieval, "SENT_ENTRIES", 100)
+    assert sorted(map(tuple, retrieval.bm25_of(asked, docs).collect())) == whole
+    none = docs.limit(0)
+    assert retrieval.bm25_of(asked, none).count() == 0 and retrieval.build_index(none)["corpus_stats"].first()["n_docs"] == 0
+
+
+def test_texts_of_hits_are_not_shuffled(spark):
+    asked, docs = frames(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = retrieval.with_texts(retrieval.bm25_top_k(asked, docs, 4), docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan

@@ -16,6 +16,8 @@ from textloom.functions import rules
 WORD = r"[\p{L}\p{N}_]+"
 BENGALI = r"[ঀ-৿]"
 SPACE = r"[\s\x1c-\x1f]"
+#: the characters of (?U)[\s\x1c-\x1f]
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: a boundary between word and other characters, marks being no word characters
 EDGE = r"(?:(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_])|(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_]))"
 
@@ -68,8 +70,8 @@ def first_filled(*columns: Column, default: str | None = None) -> Column:
 
 
 def trim(c: Column) -> Column:
-    """Without white space of any kind at the ends."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$(?!\n)", "")
+    """Without white space of any kind at the ends. Only the ends are looked at, not each blank between."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def replace_all(c: Column, noise: list[tuple[str, str]], by: str = "") -> Column:

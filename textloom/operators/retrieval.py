@@ -7,17 +7,24 @@ distributed sum does not decide.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from textloom.functions import rules
 from textloom.functions import text as T
 from textloom.sources.storage import spread
 
 Keep = Callable[[DataFrame], DataFrame]
+#: rows of a batch sent on, terms that a task counts before it sends them on, entries of queries' terms that are sent to every task, scores held at once
+BATCH_ROWS, HELD_TERMS, SENT_ENTRIES, HELD_SCORES = 100_000, 200_000, 200_000, 2_000_000
 
 # ---- index tables
 
@@ -27,9 +34,34 @@ def admitted(docs: DataFrame, content: str = "content") -> DataFrame:
     return docs.where(F.length(T.trim(T.text_or_empty(F.col(content)))) > rules.MIN_INDEXED_CHARS)
 
 
-def postings(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """key, term, tf. The count is partial before its shuffle."""
-    return docs.select(key, F.explode(T.terms(F.col(content))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def unique(docs: DataFrame, key: str) -> bool:
+    """Whether no key stands twice. One job over the keys alone; where it holds, a document is one row and its terms need no shuffle."""
+    return docs.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0
+
+
+def _worded(docs: DataFrame, key: str, content: str) -> DataFrame:
+    """key, words: a document's terms with blanks between them, which no term holds."""
+    return docs.select(key, F.array_join(T.terms(F.col(content)), " ").alias("words"))
+
+
+def postings(docs: DataFrame, key: str = "doc_id", content: str = "content", single: bool = False) -> DataFrame:
+    """key, term, tf. single: no key stands twice, so that each row is counted by itself; otherwise the count is partial before its shuffle."""
+    if not single:
+        return docs.select(key, F.explode(T.terms(F.col(content))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, terms, counts = [], [], []
+            for i, words in enumerate(b.column(1).to_pylist()):
+                own = Counter(words.split())
+                at.append(np.full(len(own), i))
+                terms.extend(own)
+                counts.extend(own.values())
+                if len(terms) >= BATCH_ROWS or i == b.num_rows - 1:
+                    yield pa.record_batch([b.column(0).take(pa.array(np.concatenate(at))), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], [key, "term", "tf"])
+                    at, terms, counts = [], [], []
+
+    return _worded(docs, key, content).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, term string, tf long")
 
 
 def doc_stats(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
@@ -44,12 +76,49 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
 
 def term_stats(posts: DataFrame, corpus: DataFrame) -> DataFrame:
     """term, df, idf. A negative idf is replaced by a share of the mean idf of all terms."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(corpus.select("n_docs"))).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    return _weighed(posts.groupBy("term").agg(F.count("*").alias("df")), corpus)
+
+
+def _weighed(df: DataFrame, corpus: DataFrame) -> DataFrame:
+    weight = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    raw = df.crossJoin(F.broadcast(corpus.select("n_docs"))).select("term", "df", F.when(F.col("term") > " ", weight).alias("raw")).where("raw IS NOT NULL")
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, rules.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def term_counts(docs: DataFrame, content: str = "content") -> DataFrame:
+    """term, n of documents of which each is one row: in how many a term stands. The empty term's n is the number of
+    documents, that of a blank the number of all terms, so that one pass tells them all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            made = pa.record_batch([pa.array(met.keys(), pa.string()), pa.array(met.values(), pa.int64())], ["term", "n"])
+            met.clear()
+            return made
+
+        for b in batches:
+            for words in b.column(0).to_pylist():
+                own = words.split()
+                met.update(set(own))
+                met[""] += 1
+                met[" "] += len(own)
+                if len(met) >= HELD_TERMS:
+                    yield out()
+        yield out()
+
+    worded = docs.select(F.array_join(T.terms(F.col(content)), " ").alias("words"))
+    return worded.mapInArrow(run, "term string NOT NULL, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def counted_stats(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """term_stats and corpus_stats from term_counts, by columns and not by filters, so that Spark counts once for both."""
+    n, total = (F.max(F.when(F.col("term") == t, F.col("n"))) for t in ("", " "))
+    corpus = counts.agg(F.coalesce(n, F.lit(0)).alias("n_docs"), (total / F.nullif(n, F.lit(0))).alias("avgdl"))
+    return _weighed(counts.withColumnRenamed("n", "df"), corpus), corpus
+
+
 def query_terms(queries: DataFrame, query: str = "query") -> DataFrame:
     """query_id, term, qtf: repeats count."""
     return queries.select("query_id", F.explode(T.terms(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -79,19 +148,95 @@ def bm25_scores(queries: DataFrame, posts: DataFrame, stats: DataFrame, terms: D
 def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int = rules.CANDIDATES, key: str = "doc_id", content: str = "content", query: str = "query", index: dict[str, DataFrame] | None = None, keep: Keep | None = None) -> DataFrame:
     """query_id, key, score, rank: the best k of each query, scores over zero.
 
-    index: postings, doc_stats, term_stats and corpus_stats built before; without it they are made from docs.
+    index: postings, doc_stats, term_stats and corpus_stats built before; without it docs are scored as they are read.
     keep: a filter of scored rows before the best are chosen.
     """
-    index = index or build_index(docs, key, content)
-    scored = bm25_scores(queries, index["postings"], index["doc_stats"], index["term_stats"], index["corpus_stats"], key, query)
+    if index:
+        scored = bm25_scores(queries, index["postings"], index["doc_stats"], index["term_stats"], index["corpus_stats"], key, query)
+    else:
+        scored = bm25_of(queries, docs, key, content, query, None if keep else k)
     return top_k(keep(scored) if keep else scored, k, [F.desc("score"), F.asc(key)]).where("score > 0")
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", content: str = "content") -> dict[str, DataFrame]:
-    own = admitted(spread(docs.select(key, content)), content)
-    posts, stats = postings(own, key, content), doc_stats(own, key, content)
-    corpus = corpus_stats(stats)
-    return {"postings": posts, "doc_stats": stats, "corpus_stats": corpus, "term_stats": term_stats(posts, corpus)}
+    return _indexed(admitted(spread(docs.select(key, content)), content), unique(docs, key), key, content)
+
+
+def _indexed(own: DataFrame, single: bool, key: str, content: str) -> dict[str, DataFrame]:
+    posts, stats = postings(own, key, content, single), doc_stats(own, key, content)
+    if single:
+        terms, corpus = counted_stats(term_counts(own, content))
+    else:
+        terms, corpus = term_stats(posts, corpus_stats(stats)), corpus_stats(stats)
+    return {"postings": posts, "doc_stats": stats, "corpus_stats": corpus, "term_stats": terms}
+
+
+def bm25_of(queries: DataFrame, docs: DataFrame, key: str = "doc_id", content: str = "content", query: str = "query", k: int | None = None) -> DataFrame:
+    """query_id, key, score of every document that shares a term with a query, without an index; k: those at least that
+    are among a query's best k.
+
+    Two passes over the documents, without a shuffle of their terms: one counts all terms, one scores each document
+    against all queries where it is read. The queries' terms with their weights are sent to every task; where they are
+    too many for that, or a key stands more than once, an index is built and its tables are joined.
+    """
+    own, single = admitted(spread(docs.select(key, content)), content), unique(docs, key)
+    index = _indexed(own, single, key, content)
+    wanted = query_terms(queries, query).join(index["term_stats"], "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    entries = wanted.crossJoin(F.broadcast(index["corpus_stats"].select("avgdl"))).limit(SENT_ENTRIES + 1).collect() if single else []
+    if not single or len(entries) > SENT_ENTRIES:
+        return bm25_scores(queries, index["postings"], index["doc_stats"], index["term_stats"], index["corpus_stats"], key, query)
+    ids = list(dict.fromkeys(e["query_id"] for e in entries))
+    number, at = {q: i for i, q in enumerate(ids)}, {t: i for i, t in enumerate(dict.fromkeys(e["term"] for e in entries))}
+    entries.sort(key=lambda e: at[e["term"]])
+    of = np.array([number[e["query_id"]] for e in entries], np.int64)
+    weight = np.array([e["weight"] for e in entries])
+    ends = np.cumsum(np.bincount([at[e["term"]] for e in entries], minlength=len(at))) if at else np.zeros(0, np.int64)
+    avgdl, wide, k1, b = entries[0]["avgdl"] if entries else 1.0, max(len(ids), 1), rules.BM25_K1, rules.BM25_B
+    firsts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if at else ends
+    of_type, held = to_arrow_type(queries.schema["query_id"].dataType), max(1, HELD_SCORES // wide)
+
+    def scored(keys: pa.Array, found: list[list[int]], sizes: list[int]) -> pa.RecordBatch:
+        n = len(found)
+        doc = np.repeat(np.arange(n), [len(f) for f in found])
+        code, tf = np.unique(doc * len(at) + np.fromiter(chain.from_iterable(found), np.int64, len(doc)), return_counts=True)
+        doc, term = np.divmod(code, max(len(at), 1))
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * np.array(sizes, float)[doc] / avgdl))
+        many, score, met = ends[term] - firsts[term], np.zeros(n * wide), np.zeros(n * wide, bool)
+        upto = np.cumsum(many)
+        start = 0
+        while start < len(term):  # some terms' queries at a time
+            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + HELD_SCORES, "right")))
+            m = many[start:stop]
+            spot = np.arange(m.sum()) + np.repeat(firsts[term[start:stop]] - (np.cumsum(m) - m), m)
+            place = np.repeat(doc[start:stop] * wide, m) + of[spot]
+            score += np.bincount(place, weight[spot] * np.repeat(part[start:stop], m), n * wide)
+            met[place] = True
+            start = stop
+        if k is not None:  # what rounding to nine places may tie with the k-th stays
+            met &= score > 0
+            if n > k:
+                table = np.where(met, score, 0.0).reshape(n, wide)
+                met &= (table >= np.partition(table, n - k, axis=0)[n - k] - 2e-9).ravel()
+        rows = np.flatnonzero(met)
+        asked = pa.array(ids, of_type).take(pa.array(rows % wide))
+        return pa.record_batch([asked, keys.take(pa.array(rows // wide)), pa.array(score[rows])], ["query_id", key, "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(1)
+            for first in range(0, batch.num_rows, held):
+                found, sizes = [], []
+                for text in words.slice(first, held).to_pylist():
+                    own = text.split()
+                    found.append([at[w] for w in own if w in at])
+                    sizes.append(len(own))
+                made = scored(batch.column(0).slice(first, held), found, sizes)
+                for at_row in range(0, made.num_rows, BATCH_ROWS):
+                    yield made.slice(at_row, BATCH_ROWS)
+
+    kinds = [f"`{n}` {t.simpleString()}" for n, t in (("query_id", queries.schema["query_id"].dataType), (key, docs.schema[key].dataType))]
+    made = _worded(own, key, content).mapInArrow(run, ", ".join([*kinds, "score double"]))
+    return made.select("query_id", key, F.round("score", 9).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -103,12 +248,11 @@ def norm(a: Column) -> Column:
 
 
 def cosine_scores(queries: DataFrame, vectors: DataFrame, key: str = "doc_id") -> DataFrame:
-    """query_id, key, score for each query vector and each vector: a stated set of queries, sent to every task if it is
-    small enough by Spark's own measure, against all rows, whose norms are computed once. A vector of zeros has no
-    direction and no score."""
+    """query_id, key, score for each query vector and each vector: a stated set of queries, sent to every task, against
+    all rows, whose norms are computed once and which stay dealt out. A vector of zeros has no direction and no score."""
     q = queries.select("query_id", F.struct(F.col("embedding").alias("v"), norm(F.col("embedding")).alias("n")).alias("asked")).where("asked.n > 0")
-    v = vectors.select(F.col(key), F.struct(F.col("embedding").alias("v"), norm(F.col("embedding")).alias("n")).alias("held")).where("held.n > 0")
-    return v.join(q).select("query_id", key, F.round(dot(F.col("held.v"), F.col("asked.v")) / (F.col("held.n") * F.col("asked.n")), 9).alias("score"))
+    v = spread(vectors).select(F.col(key), F.struct(F.col("embedding").alias("v"), norm(F.col("embedding")).alias("n")).alias("held")).where("held.n > 0")
+    return v.join(F.broadcast(q)).select("query_id", key, F.round(dot(F.col("held.v"), F.col("asked.v")) / (F.col("held.n") * F.col("asked.n")), 9).alias("score"))
 
 
 def eligible(queries: DataFrame, rows: DataFrame, key: str, names: list[str]) -> Keep:
@@ -160,6 +304,11 @@ def cap_per_url(hits: DataFrame, k: int, most: int = rules.MAX_PER_URL, url: str
     return top_k(kept.withColumnRenamed("rank", "_rank"), k, [F.asc("_rank")]).drop("_rank")
 
 
+def with_texts(hits: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """hits with the columns of docs. The few best of each query go to the texts, which are read where they lie and not shuffled."""
+    return F.broadcast(hits).join(docs, key)
+
+
 def rerank(queries: DataFrame, hits: DataFrame, k: int = rules.RERANK_TOP_K, key: str = "doc_id", query: str = "query", content: str = "content", title: str = "title") -> DataFrame:
     """hits(query_id, rank, content, title) by share of the query's distinct terms in content and title."""
     own = F.array_distinct(T.terms(F.col(query)))
@@ -208,9 +357,10 @@ def expand_context(primaries: DataFrame, chunks: DataFrame, most: int = rules.MA
     place, chunk_id, role.
     """
     known = chunks.select("chunk_id", "document_id", "section", *[c if c in chunks.columns else F.lit(None).cast("string").alias(c) for c in ("parent_chunk_id", "previous_chunk_id", "next_chunk_id")])
-    own = primaries.select("query_id", "rank", "chunk_id").join(known, "chunk_id", "left")
+    few = F.broadcast(primaries.select("chunk_id").distinct())  # what was found goes to the chunks, not they to it
+    own = primaries.select("query_id", "rank", "chunk_id").join(known.join(few, "chunk_id", "left_semi"), "chunk_id", "left")
     asked = own.select("query_id", "rank", F.col("document_id").alias("_d"), F.col("section").alias("_s"), F.posexplode(F.array("parent_chunk_id", "previous_chunk_id", "next_chunk_id")).alias("slot", "chunk_id")).where("chunk_id <> ''")
-    related = asked.join(known.select("chunk_id", "document_id", "section"), "chunk_id").where((F.col("document_id") == F.col("_d")) & ((T.text_or_empty(F.col("_s")) == "") | (F.col("section") == F.col("_s"))))
+    related = F.broadcast(asked).join(known.select("chunk_id", "document_id", "section"), "chunk_id").where((F.col("document_id") == F.col("_d")) & ((T.text_or_empty(F.col("_s")) == "") | (F.col("section") == F.col("_s"))))
     extra = related.groupBy("query_id", "rank").agg(F.array_sort(F.collect_list(F.struct("slot", "chunk_id"))).alias("extra"))
     lists = primaries.select("query_id", "rank", "chunk_id").join(extra, ["query_id", "rank"], "left").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "extra"))).alias("hits"))
     names = F.array(F.lit("parent"), F.lit("previous"), F.lit("next"))
