@@ -98,8 +98,7 @@ def bm25_topk(spark, sf):
 
 @query(f"WITH {_BM25 % K} SELECT query_id, count(*) AS n, round(sum(score), 3) AS total FROM b GROUP BY query_id")
 def bm25_scores(spark, sf):
-    i = retrieval.build_index(_docs(spark, sf))
-    scored = retrieval.bm25_scores(_asked(spark, sf), i["postings"], i["doc_stats"], i["term_stats"], i["corpus_stats"])
+    scored = retrieval.bm25_of(_asked(spark, sf), _docs(spark, sf))
     return scored.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("total"))
 
 
