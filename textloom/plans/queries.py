@@ -170,7 +170,7 @@ def url_cap(spark, sf):
 
 def _reranked(spark, sf):
     asked, docs = _asked(spark, sf), _docs(spark, sf)
-    hits = retrieval.bm25_top_k(asked, docs, rules.CANDIDATES).join(docs.select("doc_id", "content", "title"), "doc_id")
+    hits = retrieval.with_texts(retrieval.bm25_top_k(asked, docs, rules.CANDIDATES), docs.select("doc_id", "content", "title"))
     return asked, retrieval.rerank(asked, hits)
 
 
