@@ -11,6 +11,7 @@ from textloom.functions import rules
 from textloom.functions import text as T
 from textloom.operators import chunks, classify, dedup, documents, quality, query_analysis, retrieval, sessions
 from textloom.sources import readers, sinks
+from textloom.sources.storage import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -198,7 +199,8 @@ list_aggregate(list_distinct(list(d.source)), 'count') AS n_sources FROM sparse
 @query(_CONTEXT)
 def context_string(spark, sf):
     docs = _docs(spark, sf).withColumn("section", F.lit(""))
-    hits = retrieval.bm25_top_k(_asked(spark, sf), docs, 5).withColumn("place", F.col("rank")).drop("score", "rank").join(docs, "doc_id")
+    found = checkpointed(retrieval.bm25_top_k(_asked(spark, sf), docs, 5).withColumn("place", F.col("rank")).drop("score", "rank"))
+    hits = retrieval.with_texts(found, docs)
     told = retrieval.context(hits).join(retrieval.sources(hits, "doc_id"), "query_id")
     return told.select("query_id", F.md5("context").alias("digest"), F.size("sources").cast("long").alias("n_sources"))
 
@@ -218,7 +220,7 @@ SELECT query_id, CAST(generate_subscripts(ids, 1) - 1 AS INTEGER) AS place, unne
 def context_expansion(spark, sf):
     turns = _turns(spark, sf)
     asked = _asked(spark, sf)
-    hits = retrieval.bm25_top_k(asked, turns, 5, "chunk_id").select("query_id", "chunk_id", "rank")
+    hits = checkpointed(retrieval.bm25_top_k(asked, turns, 5, "chunk_id").select("query_id", "chunk_id", "rank"))
     return retrieval.expand_context(hits, turns)
 
 
