@@ -134,3 +134,25 @@ def test_tables_and_lines(spark):
     assert row == "| a | b\\|c |\n| --- | --- |\n| 1 |  |\n| 2 | 3 |"
     assert column(spark, T.sentences, ["One. Two!  Three\n\nFour। পাঁচ?"]) == [["One.", "Two!", "Three", "Four।", "পাঁচ?"]]
     assert column(spark, T.html_text, ["<p>a<script>x</script><b>b &amp; c</b><!-- z --></p>"]) == ["a\nb & c"]
+
+
+def test_noise_is_replaced_as_by_each_pattern_in_turn(spark):
+    """Texts are searched for any noise first; what is found then is what the patterns find one after the other."""
+    assert [T.needed(s) for s in (r"^\s*!\[.*\]\(.*\)\s*$", r"\[?x", r"a|\[", r"(\[)x", r"^\|[\[]+$", r"\(https?://[^)]*\)")] == ["[", "", "", "", "|", "("]
+    assert T.pattern(r"\blogo") == "(?dU)(?=l)" + T.EDGE + "logo" and T.pattern(r"(?:Ab|C)d", "i").startswith("(?dUi)(?=[AC])")
+    texts = ["plain prose", "", " | \nHome\nx", "a logo, alogo", "x\n* Search  Search\n[Site Map] Sitemap ]", "Privacy  Policy y\nz", "![a](b) [c](d)", "diſclaimer x", "## 404 - y\nz"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for noise in (rules.PAGE_NOISE, rules.DOCUMENT_NOISE, rules.CHUNK_NOISE):
+        each = F.col("t")
+        for p in noise:
+            each = F.regexp_replace(each, F.lit(T.pattern(*p)), F.lit(""))
+        assert df.where(T.replace_all(F.col("t"), noise) != each).count() == 0
+
+
+def test_texts_are_cleaned_once(spark):
+    """However often an embedding text looks at its content, and however many letters a language is told by."""
+    df = spark.createDataFrame([("a [b](c) ",)], "t string")
+    plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan(T.embedding_text(F.array(), F.lit(""), F.col("t"))).count("regexp_replace(") <= 5
+    assert "regexp_count" not in plan(T.detect_language(F.col("t")))
+    assert "regexp" not in plan(T.trim(F.col("t")))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -18,6 +21,7 @@ BENGALI = r"[ঀ-৿]"
 SPACE = r"[\s\x1c-\x1f]"
 #: the characters of (?U)[\s\x1c-\x1f]
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+RUN = r"(?U)[\s\x1c-\x1f]+"
 #: a boundary between word and other characters, marks being no word characters
 EDGE = r"(?:(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_])|(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_]))"
 
@@ -33,7 +37,8 @@ def pattern(source: str, flags: str = "") -> str:
         if c == "\\" and i + 1 < len(source):
             two = source[i : i + 2]
             if two == r"\b" and not inside:
-                two = EDGE
+                word = source[i + 2 : i + 3]  # a letter that has to follow is looked for first, as the edge costs more
+                two = f"(?={word}){EDGE}" if word.isalnum() and source[i + 3 : i + 4] not in ("?", "*", "{") else EDGE
             elif two == r"\w":
                 two = r"\p{L}\p{N}_" if inside else r"[\p{L}\p{N}_]"
             elif two == r"\Z":
@@ -51,7 +56,44 @@ def pattern(source: str, flags: str = "") -> str:
             c = r"\&"
         out.append(c)
         i += 1
-    return f"(?dU{flags})" + "".join(out)
+    return f"(?dU{flags})" + _firsts(source) + "".join(out)
+
+
+def _firsts(source: str) -> str:
+    """A look ahead for the first letters of the alternatives that a pattern begins with, which fails sooner than each of them."""
+    if not source.startswith("(?:"):
+        return ""
+    depth, parts, i = 1, [""], 3
+    while i < len(source) and depth:
+        step = 2 if source[i] == "\\" else 1
+        depth += {"(": 1, ")": -1}.get(source[i], 0)
+        if source[i] == "|" and depth == 1:
+            parts.append("")
+        elif depth:
+            parts[-1] += source[i : i + step]
+        i += step
+    plain = all((p[:1].isalnum() or p[:1] == "©") and p[1:2] not in ("?", "*", "{") for p in parts)
+    bare = not any(c in "[]" for p in parts for c in p)  # classes may hold what counts above
+    return f"(?=[{''.join(dict.fromkeys(p[0] for p in parts))}])" if plain and bare and source[i : i + 1] not in ("?", "*", "{", "|") else ""
+
+
+def needed(source: str) -> str:
+    """A mark among [ | ( that every match of a pattern has to hold, or empty."""
+    depth, inside, i, found = 0, False, 0, ""
+    while i < len(source):
+        c, step = source[i], 2 if source[i] == "\\" else 1
+        if inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            return ""
+        elif step == 2 and depth == 0 and not found and source[i + 1] in "[|(" and source[i + 2 : i + 3] not in ("?", "*", "{"):
+            found = source[i + 1]
+        i += step
+    return found
 
 
 def once(c: Column, use: Callable[[Column], Column]) -> Column:
@@ -74,10 +116,45 @@ def trim(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
+def holding(c: Column, marks: tuple[str, ...], use: Callable[[Column], Column]) -> Column:
+    """use(c) where c holds one of the marks, and c elsewhere: for patterns that meet nothing without them, as a search for marks costs far less."""
+    return once(c, lambda x: F.when(reduce(Column.__or__, [x.contains(m) for m in marks]), use(x)).otherwise(x))
+
+
 def replace_all(c: Column, noise: list[tuple[str, str]], by: str = "") -> Column:
-    for source, flags in noise:
-        c = F.regexp_replace(c, F.lit(pattern(source, flags)), F.lit(by))
-    return c
+    """Each pattern's matches replaced, one pattern after the other. Texts in which none of them can match stay as they
+    are: they lack the marks that some patterns need, and of the others none is found in one search for lines and one
+    for the rest."""
+    bare = [n for n in noise if not needed(n[0])]
+    lines = [n for n in bare if n[0].startswith("^") and "m" in n[1] and _single(n[0])]
+    scoped = lambda source, flags: f"(?dU{flags}:{pattern(source, flags).partition(')')[2]})"
+    searches = ["(?dm)^(?:" + "|".join(scoped(s[1:], f) for s, f in lines) + ")"] if lines else []
+    searches += ["|".join(scoped(*n) for n in bare if n not in lines)] if len(bare) > len(lines) else []
+
+    def use(x: Column) -> Column:
+        for mark, group in groupby(noise, lambda n: needed(n[0])):
+            sources = [pattern(*n) for n in group]
+            each = lambda y, own=sources: reduce(lambda z, p: F.regexp_replace(z, F.lit(p), F.lit(by)), own, y)
+            x = holding(x, (mark,), each) if mark else each(x)
+        return x
+
+    marks = dict.fromkeys(m for n in noise if (m := needed(n[0])))
+    return once(c, lambda x: F.when(reduce(Column.__or__, [*(x.contains(m) for m in marks), *(x.rlike(p) for p in searches)]), use(x)).otherwise(x))
+
+
+def _single(source: str) -> bool:
+    """Whether a pattern has no alternatives outside groups and classes."""
+    depth, inside, i = 0, False, 0
+    while i < len(source):
+        c = source[i]
+        if c == "[" or inside:
+            inside = c != "]"
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            return False
+        i += 2 if c == "\\" else 1
+    return True
 
 
 @F.arrow_udf(StringType())
@@ -95,11 +172,12 @@ def nfc(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """White-space separated words."""
-    return F.filter(F.split(text_or_empty(c), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
+    return F.filter(F.split(text_or_empty(c), RUN), lambda w: w != "")
 
 
 def word_count(c: Column) -> Column:
-    return F.size(words(c))
+    own = trim(text_or_empty(c))
+    return F.when(own == "", 0).otherwise(F.size(F.split(own, RUN)))
 
 
 def terms(c: Column) -> Column:
@@ -123,10 +201,14 @@ def contains_bengali(c: Column) -> Column:
 
 def detect_language(c: Column) -> Column:
     """unknown, bn, en or mixed, by the share of Bengali among Bengali and ASCII letters of the first 2,000 characters."""
-    head = F.substring(c, 1, 2000)
-    bengali, english = F.regexp_count(head, F.lit(BENGALI)), F.regexp_count(head, F.lit("[A-Za-z]"))
-    share = bengali / F.greatest(bengali + english, F.lit(1))
-    return F.when(text_or_empty(c) == "", "unknown").when(share > 0.6, "bn").when(share < 0.2, "en").otherwise("mixed")
+
+    def share(head: Column) -> Column:  # counts by what is left, without a string for each letter
+        bengali = F.length(F.regexp_replace(head, "[^ঀ-৿]+", ""))
+        english = F.length(head) - F.length(F.translate(head, string.ascii_letters, ""))
+        return bengali / F.greatest(bengali + english, F.lit(1))
+
+    named = once(once(F.substring(c, 1, 2000), share), lambda s: F.when(s > 0.6, "bn").when(s < 0.2, "en").otherwise("mixed"))
+    return F.when(text_or_empty(c) == "", "unknown").otherwise(named)
 
 
 def query_language(c: Column) -> Column:
@@ -256,26 +338,35 @@ def first_h1_title(c: Column, fallback: Column) -> Column:
 # ---- cleaning
 
 
+def _less_blank(c: Column) -> Column:
+    """A run of blanks as one."""
+    return holding(c, ("  ", "\t"), lambda x: F.regexp_replace(x, r"[ \t]{2,}", " "))
+
+
+def _less_empty(c: Column) -> Column:
+    """A run of empty lines as one."""
+    return holding(c, ("\n\n\n",), lambda x: F.regexp_replace(x, r"\n{3,}", "\n\n"))
+
+
 def clean_text(c: Column) -> Column:
     """NFC, no control characters, line ends trimmed, runs of blanks and blank lines collapsed."""
     c = F.regexp_replace(nfc(text_or_empty(c)), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    c = F.regexp_replace(F.regexp_replace(c, r"\r\n|[\r\x{85}\x{2028}\x{2029}]", "\n"), r"(?Ud)[^\S\n]+(?=\n|$)", "")
-    return trim(F.regexp_replace(F.regexp_replace(c, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n"))
+    c = holding(c, ("\r", "\x85", "\u2028", "\u2029"), lambda x: F.regexp_replace(x, r"\r\n|[\r\x{85}\x{2028}\x{2029}]", "\n"))
+    return trim(_less_empty(_less_blank(F.regexp_replace(c, r"(?Ud)[^\S\n]++(?=\n|$)", ""))))
 
 
 def normalize_text(c: Column) -> Column:
-    c = F.regexp_replace(F.regexp_replace(text_or_empty(c), r"\r\n?", "\n"), r"\n{3,}", "\n\n")
+    c = _less_empty(holding(text_or_empty(c), ("\r",), lambda x: F.regexp_replace(x, r"\r\n?", "\n")))
     return trim(F.regexp_replace(c, r"[ \t]+", " "))
 
 
 def _lines(c: Column) -> Column:
-    return F.split(F.regexp_replace(c, r"\r\n|\r", "\n"), "\n")
+    return F.split(holding(c, ("\r",), lambda x: F.regexp_replace(x, r"\r\n|\r", "\n")), "\n")
 
 
 def _collapse(lines: Column) -> Column:
     """Trimmed lines joined, a run of blank ones kept as one."""
-    joined = F.array_join(lines, "\n")
-    return trim(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
+    return trim(_less_empty(F.array_join(lines, "\n")))
 
 
 def is_error_page(c: Column) -> Column:
@@ -287,14 +378,14 @@ def clean_page(c: Column) -> Column:
     """A crawled page without navigation, media and footer noise."""
     lines = F.transform(_lines(replace_all(text_or_empty(c), rules.PAGE_NOISE)), trim)
     bare = F.array(*[F.lit(x) for x in rules.BARE_LINES if x])
-    empty_row = lambda x: x.rlike(r"^\|[\s|-]*\|$") & ~x.rlike(r"-\s*-")  # noqa: E731  each cell blank or one dash
+    empty_row = lambda x: x.startswith("|") & x.rlike(r"^\|[\s|-]*\|$") & ~x.rlike(r"-\s*-")  # noqa: E731  each cell blank or one dash
     return _collapse(F.filter(lines, lambda x: ~F.array_contains(bare, x) & ~empty_row(x)))
 
 
 def clean_document(c: Column) -> Column:
     """A document's body without noise, its white space normal."""
     c = replace_all(text_or_empty(c), rules.DOCUMENT_NOISE)
-    c = F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"[ \t]+", " ")
+    c = F.regexp_replace(holding(c, ("\r",), lambda x: F.regexp_replace(x, r"\r\n?", "\n")), r"[ \t]+", " ")
     return _collapse(F.transform(F.split(c, "\n"), trim))
 
 
@@ -304,11 +395,11 @@ def clean_for_chunks(c: Column) -> Column:
     lines = F.transform(_lines(trim(replace_all(trim(c), rules.CHUNK_NOISE))), trim)
 
     def from_content(own: Column) -> Column:
-        starts = F.transform(own, lambda x: x.rlike(pattern(rules.CONTENT_START, "i")))
+        starts = F.transform(own, lambda x: x.startswith("#") & x.rlike(pattern(rules.CONTENT_START, "i")))
         at = F.greatest(F.array_position(starts, True), F.lit(1)).cast("int")
-        return F.filter(F.slice(own, at, F.size(own)), lambda x: ~x.rlike(r"^(\*|-|\*\*|\*\*\*|\||\|\|)?$") & ~x.rlike(r"^\(https?://[^)]*\)$"))
+        return F.filter(F.slice(own, at, F.size(own)), lambda x: ~x.isin("", "*", "-", "**", "***", "|", "||") & ~(x.startswith("(") & x.rlike(r"^\(https?://[^)]*\)$")))
 
-    return trim(F.regexp_replace(F.array_join(once(lines, from_content), "\n"), r"[ \t]{2,}", " "))
+    return trim(_less_blank(F.array_join(once(lines, from_content), "\n")))
 
 
 def drop_short_lines(c: Column) -> Column:
@@ -319,18 +410,23 @@ def drop_short_lines(c: Column) -> Column:
 
 def embedding_text(chain: Column, title: Column, content: Column) -> Column:
     """Heading chain, title and content of a chunk, links and images taken out, content cut at EMBED_CHARS."""
-    c = F.regexp_replace(trim(text_or_empty(content)), r"(?d)!\[.*?\]\(.*?\)", "")
-    c = F.regexp_replace(F.regexp_replace(c, r"(?i)<img[^>]*>", ""), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    c = trim(F.regexp_replace(c, r"\[([^\]]*)\]\([^)]*\)", "$1"))
-    head = F.substring(c, 1, rules.EMBED_CHARS)
-    space = F.length(head) - F.locate(" ", F.reverse(head))  # place of the last blank, from 0
-    shorter = F.when((F.locate(" ", head) > 0) & (space > rules.EMBED_CHARS * rules.EMBED_SPACE_SHARE), F.substring(head, F.lit(1), space)).otherwise(head)
-    cut = F.when(F.length(c) > rules.EMBED_CHARS, shorter).otherwise(c)
+    c = holding(trim(text_or_empty(content)), ("![",), lambda x: F.regexp_replace(x, r"(?d)!\[.*?\]\(.*?\)", ""))
+    c = holding(c, ("<",), lambda x: F.regexp_replace(x, r"(?i)<img[^>]*>", ""))
+    c = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    c = trim(holding(c, ("](",), lambda x: F.regexp_replace(x, r"\[([^\]]*)\]\([^)]*\)", "$1")))
     filled = F.coalesce(chain, F.array().cast("array<string>"))
     own = trim(text_or_empty(title))
-    parts = F.array(F.array_join(filled, " > "), F.when(F.array_contains(filled, own), "").otherwise(own), cut)
-    joined = F.array_join(F.filter(parts, lambda p: p != ""), "\n\n")
-    return F.when(c.rlike(r"^(\s*\*\s*\[\s*\]\(\S+\)\s*\n?)+$"), "").otherwise(joined)
+
+    def joined(c: Column) -> Column:
+        head = F.substring(c, 1, rules.EMBED_CHARS)
+        space = F.length(head) - F.locate(" ", F.reverse(head))  # place of the last blank, from 0
+        shorter = F.when((F.locate(" ", head) > 0) & (space > rules.EMBED_CHARS * rules.EMBED_SPACE_SHARE), F.substring(head, F.lit(1), space)).otherwise(head)
+        cut = F.when(F.length(c) > rules.EMBED_CHARS, shorter).otherwise(c)
+        parts = F.array(F.array_join(filled, " > "), F.when(F.array_contains(filled, own), "").otherwise(own), cut)
+        told = F.array_join(F.filter(parts, lambda p: p != ""), "\n\n")
+        return F.when(c.startswith("*") & c.rlike(r"^(\s*\*\s*\[\s*\]\(\S+\)\s*\n?)+$"), "").otherwise(told)
+
+    return once(c, joined)  # cleaned once, however often its ends are looked at
 
 
 def html_text(c: Column) -> Column:
