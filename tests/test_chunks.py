@@ -144,3 +144,30 @@ def test_normalized_uploaded_payload(spark):
     got = chunks.payload(chunks.production(docs)).first()["metadata"]
     assert got["section"] == "Real" and "url" not in got and got["chunk_id"] == "d1__chunk_0000"
     assert chunks.enriched(spark.createDataFrame([("d", "u", 1, ["A", "B"], "x")], "document_id string, url string, place int, heading_chain array<string>, text string")).select(F.col("section")).first()[0] == "B"
+
+
+def test_few_documents_and_rows_are_held(monkeypatch):
+    """Of a large Arrow batch only some documents are read and only some text is held before it goes on."""
+    import pyarrow as pa
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    taken = []
+    make = lambda k, t: taken.append(k) or [(k, 0, 1, t)]
+    run = chunks.per_document(Docs(), make, ["key", "text"], chunks._PIECE, chunks._PIECE_DDL)
+    n, text = 900, "x" * 20_000
+    sizes = [b.num_rows for b in run(iter([pa.record_batch([[str(i) for i in range(n)], [text] * n], ["key", "text"])]))]
+    assert sum(sizes) == n == len(taken) and max(sizes) * len(text) <= chunks.BATCH_BYTES + len(text)
+
+
+def test_tokens_of_long_texts_are_told_without_a_look_at_each_character():
+    import timeit
+
+    text = "é" + "plain words " * 100_000
+    slow = timeit.timeit(lambda: sum("ঀ" <= c <= "৿" for c in text), number=1)
+    assert timeit.timeit(lambda: C.estimate(text), number=1) < slow / 2 and C.estimate("শাসক" * 9 + "a") == 37 // 3

@@ -17,24 +17,36 @@ from textloom.functions import chunking as C
 from textloom.functions import markdown as M
 from textloom.functions import rules
 from textloom.functions import text as T
-from textloom.sources.storage import spread
+from textloom.sources.storage import release, spread
 
-BATCH_ROWS = 1000
+#: rows and bytes of text of a batch sent on, and documents read at once
+BATCH_ROWS, BATCH_BYTES, READ_ROWS = 1000, 4 << 20, 256
 
 
 def per_document(docs: DataFrame, make: Callable[..., Iterable[tuple]], columns: list[str], schema: pa.Schema, ddl: str) -> DataFrame:
-    """Rows that `make` yields for each document's columns."""
+    """Rows that `make` yields for each document's columns. Few documents and rows are held at once, whatever Spark's own
+    batches hold, and at a task's end its worker gives memory back."""
+
+    def own(b: pa.RecordBatch) -> Iterator[tuple]:
+        for at in range(0, b.num_rows, READ_ROWS):
+            part = b.slice(at, READ_ROWS)
+            for values in zip(*(part.column(c).to_pylist() for c in columns), strict=True):
+                yield from make(*values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held: list[tuple] = []
-            for values in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
-                held.extend(make(*values))
-                if len(held) >= BATCH_ROWS:
+        try:
+            for b in batches:
+                held, size = [], 0
+                for row in own(b):
+                    held.append(row)
+                    size += sum(len(v) for v in row if isinstance(v, str))
+                    if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+                        yield _batch(schema, held)
+                        held, size = [], 0
+                if held:
                     yield _batch(schema, held)
-                    held = []
-            if held:
-                yield _batch(schema, held)
+        finally:
+            release()
 
     return docs.select(*columns).mapInArrow(run, ddl)
 
